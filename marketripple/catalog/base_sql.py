@@ -139,3 +139,135 @@ select p.date, p.idx, p.ticker, z.raw, coalesce(z.z, 0) as z
 from t_panel p left join t_z z on z.date = p.date and z.ticker = p.ticker
 where p.ticker in (select dst from t_graph)""")
 cte("t_fwd", "select *, lead(r) over (partition by ticker order by idx) as y from t_panel")
+
+# ---- books ---------------------------------------------------------------------------------------------------
+BOOK = dict(share=0.10, target=0.12, name=0.05, sector=0.25)
+
+
+def vol_sql(weights: str) -> str:
+    """Annualised volatility per date index of a weight table with columns (idx, ticker, w)."""
+    return f"""select idx, sqrt(greatest(var_samp(p), 0) * {P.YEAR}) as vol from (
+ select b.idx, q.idx as j, sum(b.w * coalesce(q.r, 0)) as p from {weights} b join t_panel q
+  on q.ticker = b.ticker and q.idx between b.idx - {P.VOL} and b.idx - 1 where b.idx >= {P.VOL} group by 1, 2) group by idx"""
+
+
+def scaled_sql(weights: str, vol: str) -> str:
+    """Volatility-targeted rows of a book."""
+    return f"""select b.* replace (b.w * coalesce(greatest(0.1, least(3, coalesce({BOOK['target']} / nullif(v.vol, 0), 1))), 1) as w)
+ from {weights} b left join {vol} v on v.idx = b.idx"""
+
+
+def clipped_sql(weights: str) -> str:
+    n = BOOK["name"]
+    return f"select * replace (greatest(-{n}, least({n}, greatest(-lim, least(lim, w)))) as w) from {weights}"
+
+
+def sector_sql(weights: str, extra: str = "") -> str:
+    return f"""select * exclude (g) replace (w * case when g > {BOOK['sector']} then {BOOK['sector']} / g else 1 end as w)
+ from (select *, sum(abs(w)) over (partition by idx, sector{extra}) as g from {weights})"""
+
+
+def smooth_sql(weights: str, n: int) -> str:
+    return f"select * replace (avg(w) over (partition by ticker order by idx {rows_back(n)}) as w) from {weights}"
+
+
+def hedge_lag_sql(weights: str) -> str:
+    return f"""
+with h as (select date, idx, ticker, case when beta is null and abs(w) > 0 then 0 else w end as w, beta from {weights}),
+u as (select date, idx, ticker, w from h union all
+  select date, idx, 'IBOV_SYNTHETIC', -coalesce(sum(w * beta), 0) from h group by date, idx)
+select date, idx, ticker, lag(w) over (partition by ticker order by idx) as w from u"""
+
+
+def mask_sql(weights: str) -> str:
+    return f"""
+with n as (select date, idx, count(r) as n from {weights} group by 1, 2),
+f as (select *, coalesce(case when count(n) over w >= {P.GUARD_MIN} then median(n) over w end, (select median(n) from n)) as ref
+  from n window w as (order by idx {rows_back(P.GUARD)}))
+select b.* replace (case when b.r is null and (n >= greatest(ref * 0.6, 1) or ref < 20) then 0 else b.w end as w)
+from {weights} b join f on f.idx = b.idx"""
+
+
+def book_ctes(tag: str, source: str, aum: float, smooths: tuple[int, ...] = (P.SMOOTH,), iterations: int = 3,
+              in_loop: bool = False, mask: bool = True) -> None:
+    """CTEs t_b_<tag> (input book), t_w_<tag>_<n> (executed weights)."""
+    cte(f"t_b_{tag}", f"""
+select s.date, s.idx, s.ticker, s.z as w, p.r, p.adtv, p.beta, n.sector,
+ coalesce(last_value(p.adtv ignore nulls) over (partition by s.ticker order by s.idx rows between unbounded preceding and current row), 0)
+ * {BOOK['share']} / {aum}::double as lim
+from {source} s join t_panel p on p.idx = s.idx and p.ticker = s.ticker join t_names n on n.ticker = s.ticker""")
+    cur = f"t_b_{tag}"
+    for i in range(iterations):
+        cte(f"t_v{i}_{tag}", vol_sql(cur))
+        cte(f"t_s{i}_{tag}", scaled_sql(cur, f"t_v{i}_{tag}"))
+        cte(f"t_c{i}_{tag}", clipped_sql(f"t_s{i}_{tag}"))
+        cte(f"t_l{i}_{tag}", sector_sql(f"t_c{i}_{tag}"))
+        cur = f"t_l{i}_{tag}"
+        if in_loop:
+            cte(f"t_i{i}_{tag}", smooth_sql(cur, smooths[0]))
+            cur = f"t_i{i}_{tag}"
+    for n in smooths:
+        t = f"{tag}_{n}"
+        cte(f"t_sm_{t}", f"select * from {cur}" if in_loop else smooth_sql(cur, n))
+        cte(f"t_sc_{t}", clipped_sql(f"t_sm_{t}"))
+        cte(f"t_sl_{t}", sector_sql(f"t_sc_{t}"))
+        last = f"t_sl_{t}"
+        if mask:
+            cte(f"t_sk_{t}", mask_sql(last))
+            last = f"t_sk_{t}"
+        cte(f"t_w_{t}", hedge_lag_sql(last))
+
+
+COST = dict(half=(2.0, 5.0, 11.0, 24.0), brok=(3.0, 3.0, 3.5, 4.0), borrow=(0.01, 0.02, 0.035, 0.06), vol=12, vol_min=4)
+
+
+def band_sql(a: str = "adtv") -> str:
+    b = P.BANDS
+    return (f"case when coalesce({a}, 0) >= {b[0]} then 0 when coalesce({a}, 0) >= {b[1]} then 1 "
+            f"when coalesce({a}, 0) >= {b[2]} then 2 else 3 end")
+
+
+def by_band(values: tuple[float, ...], band: str = "band") -> str:
+    return f"(case {band} " + " ".join(f"when {i} then {v}::double" for i, v in enumerate(values)) + " end)"
+
+
+def pnl_ctes(tag: str, weights: str, aum: float) -> None:
+    """CTEs t_led_<tag> (positions) and t_pnl_<tag> (per date)."""
+    cte(f"t_led_{tag}", f"""
+with w as (select date, idx, ticker, coalesce(w, 0) as w from {weights} where date in (select date from t_index)),
+d as (select *, coalesce(abs(w - lag(w) over (partition by ticker order by idx)), 0) as dw from w)
+select d.date, d.idx, d.ticker, d.w, d.dw, coalesce(s.r, i.m) as r, s.adtv, s.sigma, {band_sql('s.adtv')} as band
+from d left join t_sigma s on s.date = d.date and s.ticker = d.ticker
+left join t_index i on i.date = d.date and d.ticker = 'IBOV_SYNTHETIC'""")
+    cte(f"t_pnl_{tag}", f"""
+with c as (select date, sum(w * coalesce(r, 0)) as gross, sum(dw) as turnover,
+ sum(case when ticker <> 'IBOV_SYNTHETIC' then dw * ({by_band(COST['half'])} + 2.3 + {by_band(COST['brok'])}) / 10000 else 0 end) as spread,
+ sum(case when ticker <> 'IBOV_SYNTHETIC' then dw * 0.4 * sigma * sqrt(coalesce(least(dw * {aum}::double / nullif(adtv, 0), 0.25), 0.25)) else 0 end) as impact,
+ sum(case when ticker <> 'IBOV_SYNTHETIC' then abs(least(w, 0)) * {by_band(COST['borrow'])} / {P.YEAR} else 0 end) as borrow,
+ sum(case when ticker = 'IBOV_SYNTHETIC' then dw * 2.2 / 10000 else 0 end) as hedge from t_led_{tag} group by date)
+select *, spread + impact + borrow + hedge as cost, gross - (spread + impact + borrow + hedge) as net, gross - turnover * 0.0005 as net_flat from c""")
+
+
+cte("t_sigma", f"""
+with k as (select p.date, p.ticker, p.r, p.adtv, case when count(r) over w >= {COST['vol_min']} then stddev_samp(r) over w end as s
+  from t_panel p where p.date in (select date from t_index) and p.ticker in (select dst from t_graph)
+  window w as (partition by ticker order by idx {rows_back(COST['vol'])})),
+m as (select median(m) as m from (select date, median(s) as m from k group by date))
+select date, ticker, r, adtv, coalesce(s, (select m from m)) as sigma from k""")
+GRID = (4, 8, 12, 24)
+AUMS = (60_000.0, 300_000.0, 900_000.0)
+book_ctes("main", "t_sig", P.AUM, GRID)
+for _n in GRID:
+    pnl_ctes(f"main_{_n}", f"t_w_main_{_n}", P.AUM)
+for _a in (AUMS[0], AUMS[2]):
+    book_ctes(f"a{int(_a)}", "t_sig", _a)
+    pnl_ctes(f"a{int(_a)}_{P.SMOOTH}", f"t_w_a{int(_a)}_{P.SMOOTH}", _a)
+cte("t_own_sig", """select s.date, s.idx, s.ticker, coalesce(o.z, 0) as z from t_sig s
+ left join t_own_z o on o.date = s.date and o.ticker = s.ticker""")
+book_ctes("own", "t_own_sig", P.AUM)
+pnl_ctes(f"own_{P.SMOOTH}", f"t_w_own_{P.SMOOTH}", P.AUM)
+book_ctes("alt", "t_sig", P.AUM, (P.SMOOTH,), in_loop=True, mask=False)
+# the production book under plain names
+cte("t_w", f"select * from t_w_main_{P.SMOOTH}")
+cte("t_led", f"select * from t_led_main_{P.SMOOTH}")
+cte("t_pnl", f"select * from t_pnl_main_{P.SMOOTH}")

@@ -105,7 +105,7 @@ def neutralize_beta_xsec(panel: DataFrame, z: str = "z", beta: str = "beta", out
 def mask_untradable_signal(signal: DataFrame, returns: DataFrame, z: str = "z", r: str = "r") -> DataFrame:
     """Zero where the name has no return that day."""
     live = returns.where(F.col(r).isNotNull()).select("date", "ticker", F.lit(True).alias("_l"))
-    return signal.join(live, ["date", "ticker"], "left").withColumn(z, F.when("_l", F.col(z)).otherwise(0.0)).drop("_l")
+    return signal.join(live, ["date", "ticker"], "left").withColumn(z, F.when(F.col("_l"), F.col(z)).otherwise(0.0)).drop("_l")
 
 
 def active_names_per_day(signal: DataFrame, z: str = "z", keys: Sequence[str] = ()) -> DataFrame:

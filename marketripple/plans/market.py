@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketripple.operators import graph, panel, returns, shock, signal, universe
+from marketripple.operators import graph, panel, pnl, portfolio, returns, shock, signal, universe
 from marketripple.session import materialise
 
 # Scaled parameters for weekly data.
@@ -29,6 +29,11 @@ AUM = 300_000.0
 BANDS = (115_000.0, 85_000.0, 60_000.0)
 PERIODS = panel.is_oos_full(CUT)
 
+GRID = (4, 8, 12, 24)
+AUMS = (60_000.0, 300_000.0, 900_000.0)
+BOOK = portfolio.BookParams(aum=AUM, vol_window=VOL, smoothing=SMOOTH, guard_window=GUARD, guard_min=GUARD_MIN, periods=YEAR)
+COST = pnl.CostParams(bands=BANDS, vol_window=12, vol_min=4, periods=YEAR)
+
 KINDS = ("concorrente", "cliente", "imob_logistica", "fornecedor", "holding", "substituto")
 
 
@@ -180,6 +185,78 @@ class Market:
         grid = self.panel.join(dst, "ticker", "left_semi").select("date", "idx", "ticker")
         return materialise(grid.join(z, ["date", "ticker"], "left").withColumn("z", F.coalesce("z", F.lit(0.0))), "signal")
 
+    # ---- books ----------------------------------------------------------------------------------------
+
+    def book_of(self, sig: DataFrame) -> DataFrame:
+        """Book input of a dense signal (date, idx, ticker, z)."""
+        facts = self.panel.select("date", "ticker", "r", "adtv", "beta")
+        sectors = self.names.select("ticker", "sector")
+        return (sig.select("date", "idx", "ticker", F.col("z").alias("w")).join(facts, ["date", "ticker"])
+                .join(sectors, "ticker", "left"))
+
+    @cached_property
+    def book(self) -> DataFrame:
+        return materialise(self.book_of(self.signal), "bookin")
+
+    @cached_property
+    def prepared(self) -> DataFrame:
+        return portfolio.prepare_book(self.book, BOOK)
+
+    @cached_property
+    def weights(self) -> DataFrame:
+        return materialise(portfolio.build_portfolio(self.book, BOOK), "weights")
+
+    @cached_property
+    def weights_grid(self) -> DataFrame:
+        """Weights per smoothing window (key ``smooth``)."""
+        return materialise(portfolio.build_portfolio(self.book, BOOK, smoothings=GRID), "weights")
+
+    @cached_property
+    def weights_aum(self) -> DataFrame:
+        """Weights per fund size (key ``aum``)."""
+        p = portfolio.BookParams(**{**BOOK.__dict__, "aum": "aum"})
+        b = self.book.withColumn("aum", F.explode(F.array(*[F.lit(a) for a in AUMS])))
+        return materialise(portfolio.build_portfolio(b, p, keys=("aum",)), "weights")
+
+    @cached_property
+    def names_panel(self) -> DataFrame:
+        """Panel of the signal's names."""
+        return self.book.select("date", "idx", "ticker", "r", "adtv")
+
+    def ledger_of(self, weights: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+        return pnl.ledger(weights, self.names_panel, self.index, COST, keys)
+
+    @cached_property
+    def ledger(self) -> DataFrame:
+        return materialise(self.ledger_of(self.weights), "ledger")
+
+    @cached_property
+    def pnl(self) -> DataFrame:
+        """Per date: gross, turnover, cost layers, net and net_flat of the production book."""
+        return materialise(pnl.daily_costs(self.ledger, AUM, COST), "pnl")
+
+    @cached_property
+    def pnl_grid(self) -> DataFrame:
+        return materialise(pnl.daily_costs(self.ledger_of(self.weights_grid, ("smooth",)), AUM, COST, ("smooth",)), "pnl")
+
+    @cached_property
+    def pnl_aum(self) -> DataFrame:
+        return materialise(pnl.daily_costs(self.ledger_of(self.weights_aum, ("aum",)), "aum", COST, ("aum",)), "pnl")
+
+    @cached_property
+    def pnl_own(self) -> DataFrame:
+        """P&L of the book built on each name's own persistence."""
+        b = self.book_of(self.own_signal.withColumn("z", F.coalesce("z", F.lit(0.0))))
+        w = portfolio.build_portfolio(b, BOOK)
+        return materialise(pnl.daily_costs(self.ledger_of(w), AUM, COST), "pnl")
+
+    @cached_property
+    def own_signal(self) -> DataFrame:
+        """Each name's own accumulated shock, standardised over the signal's names."""
+        names = self.signal.select("ticker").distinct()
+        own = self.panel.join(names, "ticker", "left_semi").select("date", "idx", "ticker", F.col("acc").alias("raw"))
+        return signal.standardise(own).select("date", "idx", "ticker", F.nullif("raw", F.lit(0.0)).alias("raw"), "z")
+
     @cached_property
     def universe_dates(self) -> DataFrame:
         return self.obs.select("date", "ticker")
