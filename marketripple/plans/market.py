@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketripple.operators import graph, panel, pnl, portfolio, returns, shock, signal, universe
+from marketripple.operators import graph, metrics, panel, pnl, portfolio, returns, shock, signal, universe
 from marketripple.session import materialise
 
 # Scaled parameters for weekly data.
@@ -235,6 +235,18 @@ class Market:
         """Per date: gross, turnover, cost layers, net and net_flat of the production book."""
         return materialise(pnl.daily_costs(self.ledger, AUM, COST), "pnl")
 
+    def pnl_rf(self, p: DataFrame) -> DataFrame:
+        """P&L with the cash rate (one row per calendar day) alongside."""
+        return p.join(F.broadcast(self.riskfree), "date", "left")
+
+    @cached_property
+    def days(self) -> DataFrame:
+        return materialise(metrics.report_days(self.pnl, self.index, self.riskfree, self.weights), "days")
+
+    @cached_property
+    def series(self) -> DataFrame:
+        return metrics.report_series(self.days)
+
     @cached_property
     def pnl_grid(self) -> DataFrame:
         return materialise(pnl.daily_costs(self.ledger_of(self.weights_grid, ("smooth",)), AUM, COST, ("smooth",)), "pnl")
