@@ -26,12 +26,13 @@ def clip_sql(v: str, lo: str, hi: str) -> str:
 
 def corr_sql(x: str, y: str) -> str:
     xm, ym = f"case when {y} is not null then {x} end", f"case when {x} is not null then {y} end"
-    return f"covar_pop({xm}, {ym}) / nullif(stddev_pop({xm}) * stddev_pop({ym}), 0)"
+    return (f"case when stddev_pop({xm}) > 1e-12 and stddev_pop({ym}) > 1e-12 then covar_pop({xm}, {ym}) "
+            f"/ (stddev_pop({xm}) * stddev_pop({ym})) end")
 
 
 def slope_sql(x: str, y: str) -> str:
     xm, ym = f"case when {y} is not null then {x} end", f"case when {x} is not null then {y} end"
-    return f"covar_pop({xm}, {ym}) / nullif(var_pop({xm}), 0)"
+    return f"case when stddev_pop({xm}) > 1e-12 then covar_pop({xm}, {ym}) / var_pop({xm}) end"
 
 
 def periods_sql(date: str = "date") -> str:
@@ -231,13 +232,13 @@ def by_band(values: tuple[float, ...], band: str = "band") -> str:
     return f"(case {band} " + " ".join(f"when {i} then {v}::double" for i, v in enumerate(values)) + " end)"
 
 
-def pnl_ctes(tag: str, weights: str, aum: float) -> None:
+def pnl_ctes(tag: str, weights: str, aum: float, sigma: str = "t_sigma") -> None:
     """CTEs t_led_<tag> (positions) and t_pnl_<tag> (per date)."""
     cte(f"t_led_{tag}", f"""
 with w as (select date, idx, ticker, coalesce(w, 0) as w from {weights} where date in (select date from t_index)),
 d as (select *, coalesce(abs(w - lag(w) over (partition by ticker order by idx)), 0) as dw from w)
 select d.date, d.idx, d.ticker, d.w, d.dw, coalesce(s.r, i.m) as r, s.adtv, s.sigma, {band_sql('s.adtv')} as band
-from d left join t_sigma s on s.date = d.date and s.ticker = d.ticker
+from d left join {sigma} s on s.date = d.date and s.ticker = d.ticker
 left join t_index i on i.date = d.date and d.ticker = 'IBOV_SYNTHETIC'""")
     cte(f"t_pnl_{tag}", f"""
 with c as (select date, sum(w * coalesce(r, 0)) as gross, sum(dw) as turnover,
@@ -248,9 +249,10 @@ with c as (select date, sum(w * coalesce(r, 0)) as gross, sum(dw) as turnover,
 select *, spread + impact + borrow + hedge as cost, gross - (spread + impact + borrow + hedge) as net, gross - turnover * 0.0005 as net_flat from c""")
 
 
-cte("t_sigma", f"""
+for _name, _where in (("t_sigma", "and p.ticker in (select dst from t_graph)"), ("t_sigma_all", "")):
+    cte(_name, f"""
 with k as (select p.date, p.ticker, p.r, p.adtv, case when count(r) over w >= {COST['vol_min']} then stddev_samp(r) over w end as s
-  from t_panel p where p.date in (select date from t_index) and p.ticker in (select dst from t_graph)
+  from t_panel p where p.date in (select date from t_index) {_where}
   window w as (partition by ticker order by idx {rows_back(COST['vol'])})),
 m as (select median(m) as m from (select date, median(s) as m from k group by date))
 select date, ticker, r, adtv, coalesce(s, (select m from m)) as sigma from k""")
@@ -271,3 +273,45 @@ book_ctes("alt", "t_sig", P.AUM, (P.SMOOTH,), in_loop=True, mask=False)
 cte("t_w", f"select * from t_w_main_{P.SMOOTH}")
 cte("t_led", f"select * from t_led_main_{P.SMOOTH}")
 cte("t_pnl", f"select * from t_pnl_main_{P.SMOOTH}")
+
+
+def z_sql(raw: str) -> str:
+    """Winsorized z-score of a raw table (date, ticker, raw)."""
+    return f"""
+with v as (select date, ticker, raw from {raw} where raw is not null and raw <> 0),
+q as (select date, quantile_cont(raw, 0.01) as lo, quantile_cont(raw, 0.99) as hi from v group by date),
+c as (select v.*, greatest(lo, least(hi, raw)) as clipped from v join q on q.date = v.date),
+s as (select date, avg(clipped) as mu, stddev_samp(clipped) as sd from c group by date)
+select c.date, c.ticker, coalesce((clipped - mu) / case when sd = 0 then 1 else sd end, 0) as z from c join s on s.date = c.date"""
+
+
+def static_ctes(tag: str, edges: str, window: int, shocks: str = "(select date, ticker, eps as x from t_panel)") -> None:
+    """CTE t_ss_<tag>: dense smoothed signal of static edges."""
+    cte(f"t_se_{tag}", edges)
+    cte(f"t_sr_{tag}", f"""select p.date, e.dst as ticker, sum(coalesce(p.x, 0) * e.strength * e.direction) as raw
+ from {shocks} p join t_se_{tag} e on e.src = p.ticker group by 1, 2""")
+    cte(f"t_sz_{tag}", z_sql(f"t_sr_{tag}"))
+    cte(f"t_ss_{tag}", f"""select p.date, p.idx, p.ticker, avg(coalesce(z.z, 0)) over (partition by p.ticker order by p.idx {rows_back(window)}) as z
+ from t_panel p left join t_sz_{tag} z on z.date = p.date and z.ticker = p.ticker where p.ticker in (select dst from t_se_{tag})""")
+
+
+def variant_ctes(tag: str, signal: str, smooth: int) -> None:
+    """CTE t_vt_<tag>: metrics, IC and positions per period of one book."""
+    book_ctes(tag, signal, P.AUM, (smooth,))
+    pnl_ctes(tag, f"t_w_{tag}_{smooth}", P.AUM, "t_sigma_all")
+    w = "(partition by period order by date rows between unbounded preceding and current row)"
+    cte(f"t_ic_{tag}", f"""select s.date, {corr_sql('s.z', 'f.y')} as ic from {signal} s join t_fwd f on f.date = s.date and f.ticker = s.ticker
+ group by s.date having {corr_sql('s.z', 'f.y')} is not null""")
+    cte(f"t_vt_{tag}", f"""
+with p as (select p.date, period, net, gross, turnover, coalesce(rf, 0) as rf from t_pnl_{tag} p left join t_rf r on r.date = p.date
+  join {periods_sql('p.date')} on p.date between lo and hi),
+c as (select *, product(1 + net) over {w} as curve from p), d as (select *, curve / max(curve) over {w} - 1 as dd from c),
+g as (select period, count(net) as n, product(1 + net) - 1 as total_return, product(1 + net + rf) - 1 as fund_total, avg(net) * {P.YEAR} as net_year,
+ avg(net + rf) * {P.YEAR} as fund_year, avg(gross) * {P.YEAR} as gross_year, avg(rf) * {P.YEAR} as cash_year, stddev_samp(net) * sqrt({P.YEAR}) as vol_year,
+ avg(net) / nullif(stddev_samp(net), 0) * sqrt({P.YEAR}) as sharpe, avg(turnover) as turnover, min(dd) as max_drawdown from d group by period having count(net) >= 20),
+i as (select period, avg(ic) as ic, case when count(*) > 1 then avg(ic) / nullif(stddev_samp(ic) / sqrt(count(*)), 0) end as ic_t, count(*) as ic_n
+ from t_ic_{tag} join {periods_sql()} on date between lo and hi group by period),
+o as (select period, avg(n) as n_positions from (select date, count(*) filter (abs(w) > 1e-9) as n from t_w_{tag}_{smooth}
+ where ticker <> 'IBOV_SYNTHETIC' group by date) join {periods_sql()} on date between lo and hi group by period)
+select g.*, ic, ic_t, ic_n, n_positions, case g.period when 'IS' then 0 when 'OOS' then 1 when 'full' then 2 else 3 end::integer as period_order
+from g left join i on i.period = g.period left join o on o.period = g.period""")

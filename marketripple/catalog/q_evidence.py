@@ -1 +1,368 @@
-"""Queries."""
+"""Inference and evidence queries."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from marketripple.catalog import base_sql as B
+from marketripple.catalog.q_graph import MIN_PAIRS, PRIOR, PRIOR_SQL, _dir
+from marketripple.catalog.q_metrics import PM
+from marketripple.catalog.q_returns import N2, _with_class
+from marketripple.catalog.q_signal import FW
+from marketripple.catalog.registry import cte, query
+from marketripple.operators import breadth as BR
+from marketripple.operators import evidence as O
+from marketripple.operators import graph as G
+from marketripple.operators import panel as N
+from marketripple.operators import pnl as PNL
+from marketripple.operators import portfolio as PF
+from marketripple.operators import shock as S
+from marketripple.operators import signal as SG
+from marketripple.plans import market as P
+from marketripple.plans import variants as VR
+from marketripple.plans.summary import evidence_bundle, placebo_test
+
+Y = P.YEAR
+H = 4
+HORIZONS = (1, 2, 4, 8, 13, 26)
+
+cte("t_ic1", f"""select s.date, {B.corr_sql('s.z', 'f.y')} as ic from t_sig s join t_fwd f on f.date = s.date and f.ticker = s.ticker
+ group by s.date having {B.corr_sql('s.z', 'f.y')} is not null""")
+query("inf_01_ic_daily", lambda m: m.ic1, "select date, ic from t_ic1", d="ic")
+cte("t_fwdh", " union all ".join(f"""select {h}::integer as h, date, ticker, case when count(r) over (partition by ticker order by idx
+ rows between 1 following and {h} following) = {h} then sum(r) over (partition by ticker order by idx rows between 1 following and {h} following) end as y
+ from t_panel""" for h in HORIZONS))
+query("inf_02_ic_forward", lambda m: O.forward_returns(m.panel, HORIZONS), "select h, date, ticker, y from t_fwdh", d="y")
+cte("t_ics", f"""
+select period, avg(ic) as ic, case when count(*) > 1 then avg(ic) / nullif(stddev_samp(ic) / sqrt(count(*)), 0) end as t, count(*) as n
+from t_ic1 join {B.periods_sql()} on date between lo and hi group by period""")
+query("inf_03_ic_summary", lambda m: O.ic_summary(N.slice_period(m.ic1, P.PERIODS), ("period",)), "select * from t_ics", d="ic t")
+cte("t_ich", f"""select f.h, s.date, {B.corr_sql('s.z', 'f.y')} as ic from t_sig s join t_fwdh f on f.date = s.date and f.ticker = s.ticker
+ group by f.h, s.date having {B.corr_sql('s.z', 'f.y')} is not null""")
+query("inf_04_ic_overlap_t", lambda m: O.ic_summary(N.slice_period(O.ic_daily(
+    m.signal, O.forward_returns(m.panel, (H,)), fwd_keys=("h",)), P.PERIODS), ("period",), H), f"""
+select period, avg(ic) as ic, case when count(*) > {H} then avg(ic) / nullif(stddev_samp(ic) / sqrt(count(*)::double / {H}), 0) end as t, count(*) as n
+from t_ich join {B.periods_sql()} on date between lo and hi where h = {H} group by period""", d="ic t")
+query("inf_05_ic_by_horizon", lambda m: O.ic_by_horizon(m.signal, m.panel, HORIZONS), """
+with g as (select h, avg(ic) as ic, count(*) as n, avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(count(*)::double / h) as t, avg(ic) / sqrt(h) as ic_root_h
+ from t_ich group by h)
+select *, 1 - ic_root_h / (select ic_root_h from g where h = 1) as decay, 1 - 1 / sqrt(h) as decay_one_day from g""",
+      d="ic t ic_root_h decay decay_one_day")
+
+
+def _pairs(m):
+    return G.edge_pairs(m.edges, m.panel.select("date", "ticker", F.col("eps").alias("x")), m.forward.select("date", "ticker", "y"))
+
+
+query("inf_06_clustered_t_by_kind", lambda m: O.clustered_t_by_kind(_pairs(m), MIN_PAIRS), f"""
+with p as (select e.kind, e.src, e.dst, s.date, s.eps as x, f.y from t_edges e join t_panel s on s.ticker = e.src and s.eps is not null
+  join t_fwd f on f.ticker = e.dst and f.date = s.date and f.y is not null qualify count(*) over (partition by e.kind, e.src, e.dst) >= {MIN_PAIRS}),
+f as (select kind, avg(x) as mx, avg(y) as my, {B.slope_sql('x', 'y')} as b, {B.corr_sql('x', 'y')} as corr, count(*) as n, var_pop(x) * count(*) as sxx,
+  count(distinct (src, dst)) as n_edges from p group by kind),
+s as (select p.kind, p.date, sum((x - mx) * (y - my - b * (x - mx))) as s from p join f on f.kind = p.kind group by 1, 2),
+m as (select kind, sum(s * s) as meat, count(*) as n_dates from s group by kind),
+t as (select f.*, meat, n_dates, corr * sqrt(n - 2) / sqrt(greatest(1 - corr * corr, 1e-12)) as t_naive,
+  b / (sqrt(n_dates::double / (n_dates - 1) * (n - 1) / (n - 2) * meat) / sxx) as t_cluster from f join m on m.kind = f.kind)
+select kind, n_edges, n, n_dates, corr, t_naive, t_cluster, abs(t_naive) / abs(t_cluster) as inflation,
+ n / pow(abs(t_naive) / abs(t_cluster), 2) as n_effective, abs(t_naive) >= 2 as passes_naive, abs(t_cluster) >= 2 as passes_cluster from t""",
+      d="corr t_naive t_cluster inflation n_effective")
+L = 12
+_e = ", ".join(f"lag(e, {k}) over (partition by period order by date) as e{k}" for k in range(1, 41))
+_yl = ", ".join(f"lag(ic, {k}) over (partition by period order by date) as y{k}" for k in range(1, L + 1))
+_g = ", ".join(f"coalesce(sum(e * e{k}), 0) as g{k}" for k in range(1, 41))
+_r = ", ".join(f"{B.corr_sql('ic', f'y{k}')} as rho{k}" for k in range(1, L + 1))
+_hac = " + ".join(f"(1 - {k}::double / ({L} + 1)) * g{k}" for k in range(1, L + 1))
+_auto = " + ".join(f"case when {k} <= lags_auto then (1 - {k}::double / (lags_auto + 1)) * g{k} else 0 end" for k in range(1, 41))
+_rs = " + ".join(f"coalesce(rho{k}, 0)" for k in range(1, L + 1))
+cte("t_hac", f"""
+with p as (select period, date, ic, ic - avg(ic) over (partition by period) as e from t_ic1 join {B.periods_sql()} on date between lo and hi),
+l as (select *, {_e}, {_yl} from p),
+a as (select period, count(*) as n, avg(ic) as ic, stddev_samp(ic) as std_ic, sum(e * e) as g0, {_g}, {_r} from l group by period having count(*) >= 30),
+b as (select *, cast(floor(4 * pow(n::double / 100, 2.0::double / 9)) as integer) as lags_auto from a),
+c as (select *, ic / (std_ic / sqrt(n)) as t_naive, ic / sqrt((g0 + 2 * ({_hac})) / (n * n)) as t_hac, ic / sqrt((g0 + 2 * ({_auto})) / (n * n)) as t_hac_auto from b)
+select period, n, ic, std_ic, t_naive, t_hac, t_hac_auto, lags_auto, rho1, rho5, rho{L} as rho_last, sqrt(greatest(1 + 2 * ({_rs}), 1e-12)) as inflation_theoretical,
+ abs(t_naive) / abs(t_hac) as inflation_measured from c""")
+HAC = "ic std_ic t_naive t_hac t_hac_auto rho1 rho5 rho_last inflation_theoretical inflation_measured"
+
+
+def _hac_df(m):
+    return O.newey_west_mean(N.slice_period(m.ic1, P.PERIODS), L, ("period",))
+
+
+query("inf_07_newey_west_mean", _hac_df, "select * from t_hac", d=HAC)
+
+
+def _breadth(m):
+    return BR.effective_breadth(N.slice_period(m.signal.select("date", "ticker", "z"), P.PERIODS), ("period",))
+
+
+query("inf_08_effective_breadth", _breadth)
+query("inf_08_correlation_energy", lambda m: BR.correlation_energy(N.slice_period(m.signal.select("date", "ticker", "z"), P.PERIODS), ("period",)), f"""
+with s as (select period, date, ticker, z from t_sig join {B.periods_sql()} on date between lo and hi where z <> 0),
+k as (select period, ticker from s group by 1, 2 having stddev_samp(z) > 1e-12),
+v as (select s.* from s join k on k.period = s.period and k.ticker = s.ticker),
+c as (select a.period, a.ticker as i, b.ticker as j, {B.corr_sql('a.z', 'b.z')} as c from v a join v b on b.period = a.period and b.date = a.date group by 1, 2, 3),
+n as (select period, count(*) as n_names from k group by 1)
+select n.period, n_names, n_names::double * n_names / (n_names + sum(case when i <> j then coalesce(c, 0) * coalesce(c, 0) else 0 end)) as n_eff_energy
+from n join c on c.period = n.period group by n.period, n_names""", d="n_eff_energy")
+
+
+def _pos(m):
+    return N.slice_period(PF.positions_count(m.weights), P.PERIODS).groupBy("period").agg(F.avg("n_positions").alias("n_positions"))
+
+
+cte("t_npos", f"""select period, avg(n) as n_positions from (select date, count(*) filter (abs(w) > 1e-9) as n from t_w where ticker <> 'IBOV_SYNTHETIC'
+ group by date) join {B.periods_sql()} on date between lo and hi group by period""")
+cte("t_scale", """
+select h.period, n_positions, std_ic, 1 / sqrt(greatest(n_positions - 3, 1)) as std_predicted, std_ic / (1 / sqrt(greatest(n_positions - 3, 1))) as ratio,
+ 3 + 1 / (std_ic * std_ic) as n_ic_effective, abs(t_hac) as t_now, ic from t_hac h join t_npos p on p.period = h.period""")
+query("inf_09_scale_check", lambda m: O.scale_check(_hac_df(m), _pos(m), ("period",)), "select * from t_scale",
+      d="n_positions std_ic std_predicted ratio n_ic_effective t_now ic")
+query("inf_10_required_positions", lambda m: O.required_positions(O.scale_check(_hac_df(m), _pos(m), ("period",)), 2.0, ("period",)), """
+select period, t_now, n_ic_effective, pow(2 / t_now, 2) as multiplier, n_ic_effective * pow(2 / t_now, 2) as n_required from t_scale""",
+      d="t_now n_ic_effective multiplier n_required")
+query("inf_11_breadth_for_ir", lambda m: O.breadth_for_ir(_hac_df(m).select("period", "ic"), _breadth(m), periods=Y, keys=("period",)))
+
+DRAWS = 8
+cte("t_pl_real", f"""select period, avg(ic) as ic from t_ich join {B.periods_sql()} on date between lo and hi where h = {H} group by period""")
+cte("t_pl_graph", f"""
+with e as (select g.*, n.subsector as block from t_graph g left join t_names n on n.ticker = g.dst),
+h as (select *, row_number() over (partition by valid_month, variant, block order by src) as rk from (select distinct valid_month, variant, block, src from e)),
+nh as (select valid_month, variant, block, count(*) as k from h group by 1, 2, 3),
+mem as (select valid_month, variant, block, src as member from e union select valid_month, variant, block, dst from e),
+d as (select mem.*, draw, row_number() over (partition by draw, valid_month, variant, block
+  order by md5('42|' || draw || '|' || strftime(valid_month, '%Y-%m') || '|' || variant || '|' || block || '|' || member), member) as rk
+  from mem, range(0, {DRAWS}) as r(draw)),
+mp as (select h.*, d.draw, d.member as new_src from d join h on h.valid_month = d.valid_month and h.variant = d.variant and h.block = d.block and h.rk = d.rk)
+select cast(mp.draw as integer) as draw, e.valid_month, e.variant, mp.new_src as src, e.dst, e.strength, e.direction from e join mp
+ on mp.valid_month = e.valid_month and mp.variant = e.variant and mp.block = e.block and mp.src = e.src where mp.new_src <> e.dst""")
+cte("t_pl_ic", f"""
+with l as (select draw, valid_month, src, dst, sum(strength * direction) as f from t_pl_graph group by 1, 2, 3, 4),
+r as (select l.draw, p.date, l.dst as ticker, sum(p.acc * l.f) / (select count(distinct variant) from t_graph) as raw from t_panel p
+  join l on l.valid_month = last_day(p.date) and l.src = p.ticker where p.acc is not null group by 1, 2, 3),
+q as (select draw, date, quantile_cont(raw, 0.01) as lo, quantile_cont(raw, 0.99) as hi from r where raw <> 0 group by 1, 2),
+c as (select r.draw, r.date, r.ticker, greatest(lo, least(hi, raw)) as v from r join q on q.draw = r.draw and q.date = r.date where raw <> 0),
+s as (select draw, date, avg(v) as mu, stddev_samp(v) as sd from c group by 1, 2),
+z as (select c.draw, c.date, c.ticker, coalesce((v - mu) / case when sd = 0 then 1 else sd end, 0) as z from c join s on s.draw = c.draw and s.date = c.date),
+g as (select d.draw, p.date, p.ticker, coalesce(z.z, 0) as z from (select distinct draw, dst from t_pl_graph) d join t_panel p on p.ticker = d.dst
+  left join z on z.draw = d.draw and z.date = p.date and z.ticker = p.ticker)
+select g.draw, g.date, {B.corr_sql('g.z', 'f.y')} as ic from g join t_fwdh f on f.h = {H} and f.date = g.date and f.ticker = g.ticker group by 1, 2""")
+query("inf_12_placebo_graphs", lambda m: O.placebo_graphs(m.graph, m.names, DRAWS),
+      "select draw, valid_month, variant, src, dst, strength, direction from t_pl_graph", d="strength")
+query("inf_12_trigger_placebo", lambda m: placebo_test(m, DRAWS, H), f"""
+with f as (select period, draw, avg(ic) as ic from t_pl_ic join {B.periods_sql()} on date between lo and hi where ic is not null group by 1, 2)
+select f.period, any_value(r.ic) as ic_real, avg(f.ic) as placebo_mean, stddev_pop(f.ic) as placebo_sd,
+ avg(case when f.ic >= r.ic then 1.0::double else 0 end) as p_one_sided, avg(case when f.ic < r.ic then 1.0::double else 0 end) as percentile, count(f.ic) as n_draws
+from f join t_pl_real r on r.period = f.period group by 1""", d="ic_real placebo_mean placebo_sd p_one_sided percentile")
+query("inf_13_persistence_control", lambda m: O.persistence_control(m.pnl, m.pnl_own, Y), f"""
+with j as (select a.net as y, b.net as x from t_pnl a join t_pnl_own_{P.SMOOTH} b on b.date = a.date),
+e as (select *, y - (select {B.slope_sql('x', 'y')} from j) * x as e from j)
+select avg(y) / nullif(stddev_samp(y), 0) * sqrt({Y}) as sharpe_signal, avg(x) / nullif(stddev_samp(x), 0) * sqrt({Y}) as sharpe_persistence,
+ {B.corr_sql('x', 'y')} as corr, {B.slope_sql('x', 'y')} as beta, avg(e) * {Y} as alpha_year, avg(e) / (stddev_samp(e) / sqrt(count(*))) as t_alpha from e""",
+      d="sharpe_signal sharpe_persistence corr beta alpha_year t_alpha")
+NAMES4 = ("mom21", "mom12_1", "rev5", "lowvol")
+cte("t_fbook", """
+with t as (select factor, date, sum(abs(z)) as t from t_scores group by 1, 2),
+w as (select s.*, coalesce(z / nullif(t, 0), 0) as w from t_scores s join t on t.factor = s.factor and t.date = s.date),
+l as (select *, lag(w) over (partition by factor, ticker order by idx) * r as c from w)
+select factor, date, coalesce(sum(c), 0) as pnl from l group by 1, 2""")
+query("inf_14_factor_books", lambda m: O.factor_books(SG.factor_scores(m.panel, **FW)), "select factor, date, pnl from t_fbook", d="pnl")
+query("inf_14_factor_attribution", lambda m: O.factor_attribution(m.pnl, O.factor_books(SG.factor_scores(m.panel, **FW)), NAMES4, L, Y))
+_root = math.sqrt(2 * math.log(294))
+_thr = 0.42 * ((1 - O.EULER) * _root + O.EULER / _root) / math.sqrt(Y)
+query("inf_15_deflated_sharpe", lambda m: O.deflated_sharpe(m.series, periods=Y, keys=("series",)), f"""
+with g as (select series, count(r) as n, avg(r) / nullif(stddev_samp(r), 0) * sqrt({Y}) as sharpe, skewness(r) as skew, kurtosis(r) + 3 as kurtosis from t_series group by 1),
+s as (select *, (sharpe / sqrt({Y}) - {_thr!r}::double) * sqrt(n - 1) / sqrt(greatest(1 - skew * sharpe / sqrt({Y}) + (kurtosis - 1) / 4 * pow(sharpe / sqrt({Y}), 2), 1e-9)) as x from g),
+t as (select *, 1 / (1 + 0.2316419::double * abs(x)) as t from s),
+p as (select *, exp(-x * x / 2) / sqrt(2 * pi()) * t * (0.319381530::double + t * (-0.356563782::double + t * (1.781477937::double + t * (-1.821255978::double + t * 1.330274429::double)))) as tail from t)
+select series, sharpe, 294::integer as n_configs, {_thr * math.sqrt(Y)!r}::double as sharpe_threshold, case when x >= 0 then 1 - tail else tail end as dsr, skew, kurtosis from p""",
+      d="sharpe sharpe_threshold dsr skew kurtosis")
+FIRST = 1998
+cte("t_gridp", " union all ".join(f"select {n}::integer as smooth, date, net, cast(year(date) as integer) as year from t_pnl_main_{n}" for n in P.GRID))
+cte("t_wf", f"""
+with yr as (select distinct year from t_gridp where year >= {FIRST}),
+s as (select yr.year, g.smooth, case when count(case when g.year < yr.year then net end) > 60 then coalesce(avg(case when g.year < yr.year then net end)
+  / nullif(stddev_samp(case when g.year < yr.year then net end), 0) * sqrt({Y}), -9) else -9 end as score from yr, t_gridp g group by 1, 2),
+c as (select year, smooth from s qualify row_number() over (partition by year order by score desc, smooth) = 1),
+d as (select g.year, g.smooth as chosen, g.date, g.net, count(*) over (partition by g.year) as k from t_gridp g join c on c.year = g.year and c.smooth = g.smooth)
+select year, chosen, date, net from d where k >= 20""")
+query("inf_16_walk_forward", lambda m: O.walk_forward(m.pnl_grid, "smooth", FIRST, Y), f"""
+select year, chosen, case when count(net) > 20 then avg(net) / nullif(stddev_samp(net), 0) * sqrt({Y}) end as sharpe, product(1 + net) - 1 as total_return, count(net) as n
+from t_wf group by 1, 2""", d="sharpe total_return")
+query("inf_16_walk_forward_curve", lambda m: O.walk_forward_curve(m.pnl_grid, O.walk_forward_choice(m.pnl_grid, "smooth", FIRST, Y), "smooth"),
+      "select year, chosen, date, net from t_wf", d="net")
+
+# ---- static-graph variants ---------------------------------------------------------------------------------
+VT = PM + " ic ic_t n_positions"
+_J = "from t_edges e left join t_dir_is d on d.kind = e.kind"
+EDGES = {
+    "current": "select src, dst, strength, direction from t_edges",
+    "sign": f"select src, dst, strength, coalesce(d.sign, e.direction) as direction {_J}",
+    "conservative": f"select src, dst, strength, case when abs(d.t) >= 2 then d.sign else {PRIOR_SQL.replace('kind', 'e.kind')} end as direction {_J}",
+    "prior": f"select src, dst, strength, {PRIOR_SQL} as direction from t_edges",
+    "reverse": "select dst as src, src as dst, strength, direction from t_edges",
+    "bidirectional": "select src, dst, strength, direction from t_edges union all select dst, src, strength, direction from t_edges",
+    "base": "select src, dst, strength, direction from t_edges where kind in ('concorrente', 'cliente', 'holding')",
+}
+for _t, _sql in EDGES.items():
+    B.static_ctes(f"v_{_t}", _sql, P.SMOOTH)
+    B.variant_ctes(f"v_{_t}", f"t_ss_v_{_t}", P.SMOOTH)
+cte("t_ss_masked", """select s.date, s.idx, s.ticker, case when p.r is not null then z else 0 end as z from t_ss_v_current s
+ join t_panel p on p.date = s.date and p.ticker = s.ticker""")
+B.variant_ctes("v_masked", "t_ss_masked", P.SMOOTH)
+
+
+def _family(names: dict[str, str]) -> str:
+    return " union all ".join(f"select '{n}' as variant, * from t_vt_v_{t}" for n, t in names.items())
+
+
+def _fz(m, rule):
+    return G.freeze_directions(m.edges, _dir(m), PRIOR, rule)
+
+
+query("met_09_variant_table", lambda m: VR.evaluate(m, VR.static_signal(m, VR.stack(
+    {"current": m.edges, "sign": _fz(m, "sign"), "conservative": _fz(m, "conservative"), "prior": _fz(m, "prior")}))),
+      _family({k: k for k in ("current", "sign", "conservative", "prior")}), d=VT)
+PAIRS = ((1, 4), (4, 12), (12, 12), (4, 24))
+for _a in sorted({a for a, _ in PAIRS}):
+    B.static_ctes(f"j{_a}", EDGES["current"], _a)
+for _a, _b in PAIRS:
+    B.variant_ctes(f"j{_a}_{_b}", f"t_ss_j{_a}", _b)
+query("inf_18_window_sensitivity", lambda m: VR.window_sensitivity(m, m.edges, PAIRS), " union all ".join(
+    f"select {a}::integer as signal_window, {b}::integer as smooth, * from t_vt_j{a}_{b} where period = 'OOS'" for a, b in PAIRS), d=VT)
+query("inf_19_bidirectional_test", lambda m: VR.evaluate(m, VR.static_signal(m, VR.stack(
+    {"only_b": m.edges, "bidirectional": G.bidirectional(m.edges), "only_a": G.reverse_graph(m.edges)}))),
+      _family({"only_b": "current", "bidirectional": "bidirectional", "only_a": "reverse"}), d=VT)
+
+
+def _point_in_time(m):
+    base = m.edges.where(F.col("kind").isin("concorrente", "cliente", "holding"))
+    sig = VR.static_signal(m, VR.stack({"base": base, "expanded": m.edges}))
+    masked = SG.mask_untradable_signal(sig.where(F.col("variant") == "expanded"), m.panel).withColumn("variant", F.lit("masked"))
+    return VR.evaluate(m, sig.unionByName(masked.select(*sig.columns)))
+
+
+query("inf_20_point_in_time_test", _point_in_time, _family({"base": "base", "expanded": "current", "masked": "masked"}), d=VT)
+
+# ---- frozen choice of the peer-group threshold -------------------------------------------------------------
+KGRID = (0, 16, 19, 22)
+for _k in KGRID:
+    grp = "'sec:' || n.sector" if _k == 0 else (f"case when count(*) over (partition by n.subsector) - 1 >= {_k} then 'sub:' || n.subsector else 'sec:' || n.sector end")
+    cte(f"t_k{_k}", f"""
+with pg as (select ticker, {grp} as grp from t_names n), x as (select p.date, p.idx, p.ticker, p.r, p.m, grp from t_px p join pg on pg.ticker = p.ticker),
+t as (select date, grp, sum(r) as s, count(r) as n from x group by 1, 2),
+gm as (select x.*, (t.s - coalesce(x.r, 0)) / nullif(t.n - case when x.r is not null then 1 else 0 end, 0) as g from x join t on t.date = x.date and t.grp = x.grp),
+o as (select *, coalesce(m, 0) as x, coalesce(g, 0) as z, count(*) over (partition by ticker) as n_rows from gm where r is not null),
+s as (select *, cast(count(*) over w as double) as n, sum(x) over w as sx, sum(z) over w as sz, sum(r) over w as sy, sum(x*x) over w as sxx,
+  sum(z*z) over w as szz, sum(x*z) over w as sxz, sum(x*r) over w as sxy, sum(z*r) over w as szy
+  from o where n_rows >= {N2 + 10} window w as (partition by ticker order by idx {B.rows_back(N2)})),
+c as (select *, sxx-sx*sx/n as cxx, szz-sz*sz/n as czz, sxz-sx*sz/n as cxz, sxy-sx*sy/n as cxy, szy-sz*sy/n as czy from s),
+d as (select *, cxx*czz-cxz*cxz as det from c),
+b as (select *, case when n >= {N2} and det > 1e-14*cxx*czz and det > 0 then (cxy*czz-czy*cxz)/det end as b1,
+  case when n >= {N2} and det > 1e-14*cxx*czz and det > 0 then (czy*cxx-cxy*cxz)/det end as b2 from d)
+select date, ticker, r - (sy-b1*sx-b2*sz)/n - b1*x - b2*z as x from b""")
+    B.static_ctes(f"k{_k}", EDGES["current"], P.SMOOTH, f"t_k{_k}")
+    B.variant_ctes(f"k{_k}", f"t_ss_k{_k}", P.SMOOTH)
+cte("t_frozen_is", " union all ".join(f"select {k}::integer as k, ic as ic_is, ic_t as t_is from (select * from t_vt_k{k} where period = 'IS')" for k in KGRID))
+
+
+def _k_signal(m):
+    """Static signal per threshold k of the peer-group choice (0: always the sector)."""
+    base = _with_class(m, "sector", "subsector")
+    out = None
+    for k in KGRID:
+        g = S.peer_group_choice(m.names, k or None).select("ticker", "peer_group")
+        d = S.group_mean_of_others(base.join(g, "ticker"), "peer_group").withColumn("k", F.lit(k))
+        out = d if out is None else out.unionByName(d)
+    sh = S.two_factor_shock(out, N2, keys=("k",)).select("k", "date", "ticker", F.col("eps2").alias("x"))
+    load = m.edges.select("src", "dst", "strength", "direction")
+    raw = SG.propagate_static_keyed(sh, load, keys=("k",))
+    z = SG.standardise(raw, keys=("k",)).select("k", "date", "ticker", "z")
+    dst = load.select(F.col("dst").alias("ticker")).distinct()
+    grid = m.panel.select("date", "idx", "ticker").join(dst, "ticker", "left_semi").withColumn("k", F.explode(F.array(*[F.lit(k) for k in KGRID])))
+    dense = grid.join(z, ["k", "date", "ticker"], "left").withColumn("z", F.coalesce("z", F.lit(0.0)))
+    return SG.smooth(dense, "z", P.SMOOTH, "zs", ("k",)).select("k", "date", "idx", "ticker", F.col("zs").alias("z"))
+
+
+def _frozen_table(m):
+    return m.once("frozen", lambda: VR.evaluate(m, _k_signal(m), keys=("k",)))
+
+
+query("inf_17_frozen_choice", lambda m: O.frozen_choice(_frozen_table(m).where(F.col("period") == "IS").select("k", F.col("ic").alias("ic_is")), "k", "ic_is"),
+      "select k from t_frozen_is order by ic_is desc, k limit 1")
+query("inf_17_in_sample_grid", lambda m: _frozen_table(m).where(F.col("period") == "IS").select("k", F.col("ic").alias("ic_is"), F.col("ic_t").alias("t_is")),
+      "select k, ic_is, t_is from t_frozen_is", d="ic_is t_is")
+
+
+def _decision(m):
+    t = _frozen_table(m)
+    sig = m.once("k_signal", lambda: _k_signal(m))
+    win = O.frozen_choice(t.where(F.col("period") == "IS").select("k", "ic"), "k")
+    oos = t.where(F.col("period") == "OOS").join(BR.effective_breadth(
+        N.slice_period(sig, P.PERIODS).where(F.col("period") == "OOS").select("k", "date", "ticker", "z"), ("k",)), "k")
+    return O.frozen_decision(oos.where(F.col("k") == 0), oos.join(win, "k"))
+
+
+query("inf_17_frozen_decision", _decision)
+
+# ---- bundle, resampling, documented cuts -------------------------------------------------------------------
+query("inf_21_evidence_bundle", lambda m: evidence_bundle(m))
+BOOT = 200
+cte("t_boot", f"""
+with p as (select row_number() over (order by date) - 1 as pos, net as r, count(*) over () as n from t_pnl),
+d as (select draw, b, n, ('0x' || substr(md5('42|' || draw || '|' || b), 1, 8))::bigint % greatest(n - 12 + 1, 1) as start
+ from (select any_value(n) as n from p), range(0, {BOOT}) as r(draw), range(0, 1000) as q(b) where b < ceil(n::double / 12)),
+x as (select draw, start + j as pos from d, range(0, 12) as t(j) where b * 12 + j < n)
+select cast(draw as integer) as draw, avg(r) / nullif(stddev_samp(r), 0) * sqrt({Y}) as sharpe from x join p on p.pos = x.pos group by draw""")
+query("inf_22_block_bootstrap", lambda m: O.block_bootstrap(m.pnl, "net", 12, BOOT, periods=Y), "select draw, sharpe from t_boot", d="sharpe")
+query("inf_22_bootstrap_summary", lambda m: O.bootstrap_summary(O.block_bootstrap(m.pnl, "net", 12, BOOT, periods=Y)), """
+select quantile_cont(sharpe, 0.025) as ci_low, quantile_cont(sharpe, 0.975) as ci_high, avg(case when sharpe > 0 then 1.0::double else 0 end) as p_positive,
+ count(sharpe) as n_draws from t_boot""", d="ci_low ci_high p_positive")
+query("inf_23_ic_by_liquidity_band", lambda m: O.ic_by_band(
+    m.signal.select("date", "ticker", "z"), O.forward_returns(m.panel, (H,)).select("date", "ticker", "y"),
+    m.panel.select("date", "ticker", PNL.liquidity_band("adtv", P.BANDS).alias("band")), H), f"""
+with j as (select {B.band_sql('p.adtv')} as band, s.date, s.z, f.y from t_sig s join t_fwdh f on f.h = {H} and f.date = s.date and f.ticker = s.ticker
+ join t_panel p on p.date = s.date and p.ticker = s.ticker),
+i as (select band, date, {B.corr_sql('z', 'y')} as ic from j group by 1, 2)
+select cast(band as integer) as band, avg(ic) as ic, case when count(ic) > {H} then avg(ic) / nullif(stddev_samp(ic) / sqrt(count(ic)::double / {H}), 0) end as t,
+ count(ic) as n from i where ic is not null group by 1""", d="ic t")
+
+
+def _leader(m):
+    acc = m.panel.select("date", "idx", "ticker", "acc").join(m.names.select("ticker", "subsector"), "ticker")
+    sec = S.group_mean_of_others(acc, "subsector", "sector_mean", r="acc").select("date", "ticker", "sector_mean")
+    return (m.raw_signal.select("date", "ticker", F.col("raw").alias("leader")).join(sec, ["date", "ticker"])
+            .join(O.forward_returns(m.panel, (H,)).select("date", "ticker", "y"), ["date", "ticker"]))
+
+
+query("inf_23_leader_vs_sector", lambda m: O.leader_vs_sector(_leader(m), H), f"""
+with a as (select p.date, p.ticker, p.acc, n.subsector from t_panel p join t_names n on n.ticker = p.ticker),
+t as (select date, subsector, sum(acc) as s, count(acc) as n from a group by 1, 2),
+j as (select r.date, r.raw as l, (t.s - coalesce(a.acc, 0)) / nullif(t.n - case when a.acc is not null then 1 else 0 end, 0) as s, f.y
+ from t_raw r join a on a.date = r.date and a.ticker = r.ticker join t on t.date = a.date and t.subsector = a.subsector
+ join t_fwdh f on f.h = {H} and f.date = r.date and f.ticker = r.ticker),
+o as (select * from j where l is not null and s is not null and y is not null),
+g as (select date, count(*) as n, var_pop(l) as v1, var_pop(s) as v2, covar_pop(l, s) as c12, covar_pop(l, y) as c1, covar_pop(s, y) as c2 from o group by date),
+w as (select *, v1 * v2 - c12 * c12 as det from g where n >= 5 and v1 * v2 - c12 * c12 > 1e-9 * v1 * v2),
+u as (select 'leader_alone' as term, c1 / v1 as b from w union all select 'sector_alone', c2 / v2 from w
+ union all select 'leader_joint', (c1 * v2 - c2 * c12) / det from w union all select 'sector_joint', (c2 * v1 - c1 * c12) / det from w)
+select term, avg(b) as slope, avg(b) / nullif(stddev_samp(b) / sqrt(count(b)::double / {H}), 0) as t, count(b) as n from u group by 1""", d="slope t")
+
+
+def _industry(m):
+    return O.industry_momentum_scores(SG.factor_scores(m.panel, **FW), m.names)
+
+
+query("inf_23_industry_momentum", lambda m: O.factor_books(_industry(m)), """
+with g as (select s.date, n.subsector, avg(score) as g from t_scores s join t_names n on n.ticker = s.ticker where factor = 'mom12_1' group by 1, 2),
+x as (select s.date, s.idx, s.ticker, s.r, g.g as score from t_scores s join t_names n on n.ticker = s.ticker
+ join g on g.date = s.date and g.subsector = n.subsector where factor = 'mom12_1'),
+z as (select x.*, (score - avg(score) over (partition by date)) / case when stddev_samp(score) over (partition by date) = 0 then 1
+  else stddev_samp(score) over (partition by date) end as z from x),
+w as (select *, coalesce(z / nullif(sum(abs(z)) over (partition by date), 0), 0) as w from z),
+l as (select *, lag(w) over (partition by ticker order by idx) * r as c from w)
+select 'industry_mom' as factor, date, coalesce(sum(c), 0) as pnl from l group by date""", d="pnl")
+query("inf_23_attribution_with_industry", lambda m: O.factor_attribution(
+    m.pnl, O.factor_books(SG.factor_scores(m.panel, **FW).unionByName(_industry(m))), (*NAMES4, "industry_mom"), L, Y))

@@ -35,7 +35,7 @@ def median(value: str | Column) -> Column:
 
 
 def clip(v: Column, lo: Column | float, hi: Column | float) -> Column:
-    """Symmetric NULL rule: a NULL value stays NULL."""
+    """Bound ``v``; a NULL value stays NULL (greatest and least would skip it)."""
     lo = lo if isinstance(lo, Column) else F.lit(float(lo))
     hi = hi if isinstance(hi, Column) else F.lit(float(hi))
     return F.when(v.isNotNull(), F.greatest(lo, F.least(hi, v)))
@@ -47,16 +47,21 @@ def both(x: str | Column, y: str | Column) -> tuple[Column, Column]:
     return F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
 
 
+# Names fed by the same heads carry equal signals up to rounding; a deviation this small is no variance.
+NO_VARIANCE = 1e-12
+
+
 def corr_agg(x: str | Column, y: str | Column) -> Column:
-    """Pearson correlation aggregate that gives NULL (not an error) on zero variance."""
+    """Pearson correlation aggregate that gives NULL (not an error) without variance."""
     xm, ym = both(x, y)
-    return F.try_divide(F.covar_pop(xm, ym), F.stddev_pop(xm) * F.stddev_pop(ym))
+    sx, sy = F.stddev_pop(xm), F.stddev_pop(ym)
+    return F.when((sx > NO_VARIANCE) & (sy > NO_VARIANCE), F.try_divide(F.covar_pop(xm, ym), sx * sy))
 
 
 def slope_agg(x: str | Column, y: str | Column) -> Column:
-    """OLS slope of y on x (with intercept), NULL on zero variance of x."""
+    """OLS slope of y on x (with intercept), NULL without variance of x."""
     xm, ym = both(x, y)
-    return F.try_divide(F.covar_pop(xm, ym), F.var_pop(xm))
+    return F.when(F.stddev_pop(xm) > NO_VARIANCE, F.try_divide(F.covar_pop(xm, ym), F.var_pop(xm)))
 
 
 def pair_count(x: str | Column, y: str | Column) -> Column:

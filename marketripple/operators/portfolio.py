@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,19 +131,17 @@ def calibrate_loop(prepared: DataFrame, p: BookParams = BookParams(), keys: Sequ
     factors so far and writes the next factors (lineage stays flat, and their file size tells the optimizer
     whether to broadcast them).
     """
-    df, cur = prepared, F.col("w")
+    df = prepared
     for i in range(p.iterations):
-        vol = _vol_from_past(df, cur, p.vol_window, p.periods, keys)
-        s = materialise(leverage_scalar(vol, p, keys).withColumnRenamed("scalar", f"_s{i}"), "scalar")
-        df = df.join(s, [*keys, "date"], "left")
-        cur = clip(clip(cur * F.coalesce(F.col(f"_s{i}"), F.lit(1.0)), -F.col("lim"), F.col("lim")), -p.max_name, p.max_name)
-        f = materialise(sector_factor(df, cur, p, keys).withColumnRenamed("factor", f"_f{i}"), "factor")
-        df = df.join(f, [*keys, "date", "sector"], "left")
-        cur = cur * F.col(f"_f{i}")
+        vol = _vol_from_past(df, F.col("w"), p.vol_window, p.periods, keys)
+        s = materialise(leverage_scalar(vol, p, keys), "scalar")
+        df = df.join(s, [*keys, "date"], "left").withColumn("w", F.col("w") * F.coalesce("scalar", F.lit(1.0))).drop("scalar")
+        df = cap_name(cap_liquidity(df), p)
+        f = materialise(sector_factor(df, F.col("w"), p, keys), "factor")
+        df = df.join(f, [*keys, "date", "sector"], "left").withColumn("w", F.col("w") * F.col("factor")).drop("factor")
         if p.smooth_in_loop:  # the smoothed weights are a new panel, so this variant writes it
-            sm = df.withColumn("w", cur).select(*prepared.columns)
-            df, cur = materialise(smooth_weights(sm, p.smoothing, keys), "book"), F.col("w")
-    return df.withColumn("w", cur).select(*prepared.columns)
+            df = materialise(smooth_weights(df, p.smoothing, keys).select(*prepared.columns), "book")
+    return df.select(*prepared.columns)
 
 
 def smooth_weights(book: DataFrame, n: int = 63, keys: Sequence[str] = ()) -> DataFrame:
@@ -169,10 +169,11 @@ def execution_lag(weights: DataFrame, n: int = 1, keys: Sequence[str] = ()) -> D
 
 
 def build_portfolio(book: DataFrame, p: BookParams = BookParams(), keys: Sequence[str] = (),
-                    smoothings: Sequence[int] | None = None) -> DataFrame:
+                    smoothings: Sequence[int] | None = None, keep: Sequence[dict] | None = None) -> DataFrame:
     """Signal book to executed weights (keys, date, idx, ticker, w).
 
-    ``smoothings`` adds the key ``smooth``: all windows share the loop and one pass over the tickers.
+    ``smoothings`` adds the key ``smooth``: all windows share the loop and one pass over the tickers; ``keep`` lists
+    the wanted key combinations when not all are.
     """
     prepared = prepare_book(book, p, keys)
     looped = calibrate_loop(prepared, p, keys)
@@ -182,6 +183,8 @@ def build_portfolio(book: DataFrame, p: BookParams = BookParams(), keys: Sequenc
         opts = F.array(*[F.struct(F.lit(n).alias("smooth"), F.col(f"_w{n}").alias("w")) for n in smoothings])
         d = slim.select("*", *[(rolling("w", w, n, 1) if n > 1 else F.col("w")).alias(f"_w{n}") for n in smoothings])
         d = d.withColumn("_o", F.explode(opts)).drop("w").select(*[c for c in slim.columns if c != "w"], "_o.smooth", "_o.w")
+        if keep is not None:
+            d = d.where(reduce(or_, [reduce(and_, [F.col(k) == v for k, v in c.items()]) for c in keep]))
         keys = (*keys, "smooth")
     else:
         d = slim if p.smooth_in_loop else smooth_weights(slim, p.smoothing, keys)

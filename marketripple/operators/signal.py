@@ -22,6 +22,14 @@ def propagate_static(shocks: DataFrame, edges: DataFrame, value: str = "x", keys
         F.sum(F.col("_x") * F.col("_f")).alias("raw"))
 
 
+def propagate_static_keyed(shocks: DataFrame, edges: DataFrame, value: str = "x", keys: Sequence[str] = ()) -> DataFrame:
+    """The same edges for shocks that carry the scenario keys."""
+    load = edges.groupBy("src", "dst").agg(F.sum(F.col("strength") * F.col("direction")).alias("_f"))
+    s = shocks.select(*keys, "date", F.col("ticker").alias("src"), F.coalesce(F.col(value), F.lit(0.0)).alias("_x"))
+    return s.join(load, "src").groupBy(*keys, "date", F.col("dst").alias("ticker")).agg(
+        F.sum(F.col("_x") * F.col("_f")).alias("raw"))
+
+
 def propagate_temporal_ensemble(shocks: DataFrame, graph: DataFrame, value: str = "acc", keys: Sequence[str] = (),
                                 n_variants=None) -> DataFrame:
     """Mean over the graph's variants of the propagated shock; an exact 0 is no signal (NULL).

@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketripple.operators import graph, metrics, panel, pnl, portfolio, returns, shock, signal, universe
+from marketripple.operators import evidence, graph, metrics, panel, pnl, portfolio, returns, shock, signal, universe
 from marketripple.session import materialise
 
 # Scaled parameters for weekly data.
@@ -269,6 +269,17 @@ class Market:
         own = self.panel.join(names, "ticker", "left_semi").select("date", "idx", "ticker", F.col("acc").alias("raw"))
         return signal.standardise(own).select("date", "idx", "ticker", F.nullif("raw", F.lit(0.0)).alias("raw"), "z")
 
+    @cached_property
+    def ic1(self) -> DataFrame:
+        """Per-date IC of the signal against the next row's return."""
+        return evidence.ic_daily(self.signal, self.forward)
+
+    def once(self, label: str, build) -> DataFrame:
+        """Write an intermediate that several queries share once per market."""
+        if label not in self.__dict__:
+            self.__dict__[label] = materialise(build(), label)
+        return self.__dict__[label]
+
     @cached_property
     def universe_dates(self) -> DataFrame:
         return self.obs.select("date", "ticker")
