@@ -287,7 +287,7 @@ def _k_signal(m):
 
 
 def _frozen_table(m):
-    return m.once("frozen", lambda: VR.evaluate(m, _k_signal(m), keys=("k",)))
+    return m.once("frozen", lambda: VR.evaluate(m, m.once("k_signal", lambda: _k_signal(m)), keys=("k",)))
 
 
 query("inf_17_frozen_choice", lambda m: O.frozen_choice(_frozen_table(m).where(F.col("period") == "IS").select("k", F.col("ic").alias("ic_is")), "k", "ic_is"),
