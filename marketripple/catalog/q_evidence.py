@@ -22,6 +22,7 @@ from marketripple.operators import shock as S
 from marketripple.operators import signal as SG
 from marketripple.plans import market as P
 from marketripple.plans import variants as VR
+from marketripple.session import materialise
 from marketripple.plans.summary import evidence_bundle, placebo_test
 
 Y = P.YEAR
@@ -279,7 +280,7 @@ def _k_signal(m):
     sh = S.two_factor_shock(out, N2, keys=("k",)).select("k", "date", "ticker", F.col("eps2").alias("x"))
     load = m.edges.select("src", "dst", "strength", "direction")
     raw = SG.propagate_static_keyed(sh, load, keys=("k",))
-    z = SG.standardise(raw, keys=("k",)).select("k", "date", "ticker", "z")
+    z = SG.standardise(materialise(raw, "raw"), keys=("k",), max_group=m.n_names).select("k", "date", "ticker", "z")
     dst = load.select(F.col("dst").alias("ticker")).distinct()
     grid = m.panel.select("date", "idx", "ticker").join(dst, "ticker", "left_semi").withColumn("k", F.explode(F.array(*[F.lit(k) for k in KGRID])))
     dense = grid.join(z, ["k", "date", "ticker"], "left").withColumn("z", F.coalesce("z", F.lit(0.0)))

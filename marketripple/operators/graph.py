@@ -24,23 +24,22 @@ def lagged_month_end(adtv: DataFrame) -> DataFrame:
     return moved.join(F.broadcast(months), "valid_month", "left_semi")  # one row per calendar month
 
 
-def eligible_members(adtv: DataFrame, sectors: DataFrame, min_adtv: float, min_members: int,
-                     marker: str = "A DEFINIR") -> DataFrame:
-    """(valid_month, subsector, ticker, root, v) of groups with enough liquid members."""
+def eligible_members(adtv: DataFrame, sectors: DataFrame, min_adtv: float, marker: str = "A DEFINIR") -> DataFrame:
+    """(valid_month, subsector, ticker, root, v) of liquid names with a known subsector."""
     known = sectors.where(F.col("subsector").isNotNull() & (F.col("subsector") != marker)).select("ticker", "subsector")
-    m = (lagged_month_end(adtv).where(F.col("v") >= min_adtv).join(known, "ticker")
-         .withColumn("root", ticker_root("ticker")))
-    size = m.groupBy("valid_month", "subsector").agg(F.count("ticker").alias("n_members"))
-    return m.join(size.where(F.col("n_members") >= min_members), ["valid_month", "subsector"])
+    return (lagged_month_end(adtv).where(F.col("v") >= min_adtv).join(known, "ticker")
+            .withColumn("root", ticker_root("ticker")))
 
 
-def group_heads(members: DataFrame, ks: Sequence[int]) -> DataFrame:
-    """Heads per (month, subsector, k): the most liquid name of each of the k most liquid roots.
+def group_heads(members: DataFrame, ks: Sequence[int], min_members: int) -> DataFrame:
+    """Heads per (month, subsector, k): the most liquid name of each of the k most liquid roots, in groups of at
+    least ``min_members`` members (counted before roots merge).
 
     Ranks run over per-root maxima and are cut at max(ks), so the ranking keeps only the top rows per task.
     """
     best = members.groupBy("valid_month", "subsector", "root").agg(
-        F.min(F.struct((-F.col("v")).alias("nv"), F.col("ticker"))).alias("h"))
+        F.min(F.struct((-F.col("v")).alias("nv"), F.col("ticker"))).alias("h"), F.count("ticker").alias("c"))
+    size = best.groupBy("valid_month", "subsector").agg(F.sum("c").alias("n_members"))
     best = best.select("valid_month", "subsector", "root", F.col("h.ticker").alias("head"), (-F.col("h.nv")).alias("hv"))
     w = Window.partitionBy("valid_month", "subsector").orderBy(F.desc("hv"), "head")
     top = best.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= max(ks))
@@ -48,7 +47,8 @@ def group_heads(members: DataFrame, ks: Sequence[int]) -> DataFrame:
     tot = byk.groupBy("valid_month", "subsector", "k").agg(
         F.collect_list(F.struct("head", "root", "hv")).alias("heads"),  # at most max(ks) entries
         F.count("head").alias("n_heads"), F.sum("hv").alias("sum_hv"))
-    return tot.where(F.col("n_heads") >= 2)
+    return tot.where(F.col("n_heads") >= 2).join(
+        size.where(F.col("n_members") >= min_members), ["valid_month", "subsector"], "left_semi")
 
 
 def build_rule_graph(adtv: DataFrame, sectors: DataFrame, ks: Sequence[int] = (2, 3, 5),
@@ -59,8 +59,8 @@ def build_rule_graph(adtv: DataFrame, sectors: DataFrame, ks: Sequence[int] = (2
     The heads of a (month, subsector) travel as one short array, so the join adds one row per member and k and
     the edges unfold without a shuffle of heads x members.
     """
-    members = eligible_members(adtv, sectors, min_adtv, min_members)
-    heads = group_heads(members, ks)
+    members = eligible_members(adtv, sectors, min_adtv)
+    heads = group_heads(members, ks, min_members)
     sat = members.select("valid_month", "subsector", "ticker", "root", "v")
     j = sat.join(heads, ["valid_month", "subsector"])
     if max_satellites is not None:

@@ -147,12 +147,12 @@ def to_wide(panel: DataFrame, value: str, names: Sequence[str], column: str = "t
 
 
 def xsec_stat(panel: DataFrame, value: str, probs: Sequence[float] = (0.5,), names: Sequence[str] = ("median",),
-              keys: Sequence[str] = ()) -> DataFrame:
+              keys: Sequence[str] = (), max_group: int | None = None) -> DataFrame:
     """Per-date count, mean, sample deviation and quantiles over the cross-section."""
     by = [*keys, "date"]
     base = panel.groupBy(*by).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
-    return base.join(group_quantiles(panel, by, value, probs, names), by, "left")
+    return base.join(group_quantiles(panel, by, value, probs, names, max_group=max_group), by, "left")
 
 
 def active_window(weights: DataFrame, keys: Sequence[str] = (), floor: float = 1e-9) -> DataFrame:

@@ -44,10 +44,10 @@ def per_band(band: Column, values: Sequence[float]) -> Column:
     return F.element_at(F.array(*[F.lit(float(v)) for v in values]), band + 1)
 
 
-def impact_sigma(returns: DataFrame, p: CostParams = CostParams()) -> DataFrame:
+def impact_sigma(returns: DataFrame, p: CostParams = CostParams(), max_group: int | None = None) -> DataFrame:
     """Rolling deviation per name on the P&L calendar, with the median over days of daily medians as fallback."""
     s = returns.select("date", "ticker", rolling("r", series_window((), "ticker"), p.vol_window, p.vol_min, F.stddev_samp).alias("_s"))
-    daily = group_quantiles(s, ["date"], "_s", [0.5], ["_m"])
+    daily = group_quantiles(s, ["date"], "_s", [0.5], ["_m"], max_group=max_group)
     fallback = daily.agg(median("_m").alias("m")).select("m").scalar()
     return s.select("date", "ticker", F.coalesce("_s", fallback).alias("sigma"))
 
@@ -58,7 +58,7 @@ def on_session_dates(df: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def ledger(weights: DataFrame, panel: DataFrame, index: DataFrame, p: CostParams = CostParams(),
-           keys: Sequence[str] = ()) -> DataFrame:
+           keys: Sequence[str] = (), max_group: int | None = None) -> DataFrame:
     """One row per (keys, date, ticker): weight, |change|, return, ADTV, deviation. NULL weight is 0.
 
     ``panel`` gives (date, idx, ticker, r, adtv) of the book's names, ``index`` (date, idx, m) the hedge return.
@@ -67,7 +67,7 @@ def ledger(weights: DataFrame, panel: DataFrame, index: DataFrame, p: CostParams
     change = F.abs(F.col("w") - F.lag("w").over(series_window(keys, "ticker")))
     w = w.withColumn("dw", F.coalesce(change, F.lit(0.0)))
     kept = on_session_dates(panel, index)
-    info = kept.select("date", "ticker", "r", "adtv").join(impact_sigma(kept, p), ["date", "ticker"])
+    info = kept.select("date", "ticker", "r", "adtv").join(impact_sigma(kept, p, max_group), ["date", "ticker"])
     hedge = index.select("date", F.lit(HEDGE_TICKER).alias("ticker"), F.col("m").alias("r"))
     info = info.unionByName(hedge, allowMissingColumns=True)
     return w.join(info, ["date", "ticker"], "left")

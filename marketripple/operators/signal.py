@@ -43,7 +43,7 @@ def propagate_temporal_ensemble(shocks: DataFrame, graph: DataFrame, value: str
     load = graph.groupBy(*keys, "valid_month", "src", "dst").agg(
         F.sum(F.col("strength") * F.col("direction")).alias("_f"))
     load = load.withColumn("_salt", F.pmod(F.hash("dst"), F.lit(SALTS)))
-    triggers = graph.select("valid_month", "src").distinct()
+    triggers = load.select("valid_month", "src").distinct()
     s = (shocks.where(F.col(value).isNotNull())
          .select("date", F.last_day("date").alias("valid_month"), F.col("ticker").alias("src"), F.col(value).alias("_x"))
          .join(triggers, ["valid_month", "src"], "left_semi")
@@ -55,11 +55,11 @@ def propagate_temporal_ensemble(shocks: DataFrame, graph: DataFrame, value: str
 
 
 def winsorize_xsec(panel: DataFrame, value: str = "raw", out: str = "clipped", total: float = 0.02,
-                   keys: Sequence[str] = ()) -> DataFrame:
+                   keys: Sequence[str] = (), max_group: int | None = None) -> DataFrame:
     """Clip to the total/2 and 1 - total/2 quantiles of each date; 0 is no signal."""
     by = [*keys, "date"]
     d = panel.withColumn("_v", F.nullif(F.col(value), F.lit(0.0)))
-    q = group_quantiles(d, by, "_v", [total / 2, 1 - total / 2], ["_lo", "_hi"])
+    q = group_quantiles(d, by, "_v", [total / 2, 1 - total / 2], ["_lo", "_hi"], max_group=max_group)
     return (d.join(small_by_date(q, keys), by, "left")
             .withColumn(out, F.when(F.col("_v").isNotNull(), F.greatest("_lo", F.least("_hi", "_v"))))
             .drop("_v", "_lo", "_hi"))
@@ -76,9 +76,12 @@ def zscore_xsec(panel: DataFrame, value: str = "clipped", out: str = "z", keys:
             .withColumn(out, z if fill is None else F.coalesce(z, F.lit(fill))).drop("_m", "_s"))
 
 
-def standardise(raw: DataFrame, total: float = 0.02, keys: Sequence[str] = ()) -> DataFrame:
-    """Winsorized z-score of a raw signal."""
-    return zscore_xsec(winsorize_xsec(raw, total=total, keys=keys), keys=keys)
+def standardise(raw: DataFrame, total: float = 0.02, keys: Sequence[str] = (), max_group: int | None = None) -> DataFrame:
+    """Winsorized z-score of a raw signal. Reads ``raw`` three times, so give it a written table.
+
+    ``max_group``: a counted upper bound of the names per date, if there is one.
+    """
+    return zscore_xsec(winsorize_xsec(raw, total=total, keys=keys, max_group=max_group), keys=keys)
 
 
 def smooth(panel: DataFrame, value: str = "z", n: int = 21, out: str = "z_smooth", keys: Sequence[str] = ()) -> DataFrame:

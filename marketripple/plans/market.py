@@ -68,16 +68,17 @@ class Market:
         """One trade record per line item."""
         k = F.col("l_suppkey")
         return self.table("lineitem").select(
-            F.date_trunc("week", "l_shipdate").cast("date").alias("date"), ticker_of(k).alias("ticker"),
+            F.date_trunc("week", "l_shipdate").cast("date").alias("date"), k.alias("k"), ticker_of(k).alias("ticker"),
             bdi_of(k).alias("bdi"), cents("l_extendedprice").alias("vol_c"), cents("l_discount").alias("disc_c"),
             cents("l_tax").alias("tax_c"), F.col("l_orderkey").alias("file_no"), F.col("l_linenumber").alias("line_no"))
 
     @cached_property
     def obs(self) -> DataFrame:
-        """Observed (date, ticker): volume and close."""
-        return self.records.groupBy("date", "ticker").agg(
+        """Observed (date, ticker): volume and close. Groups by the numeric key; names are made afterwards."""
+        g = self.records.groupBy("date", "k").agg(
             (F.sum("vol_c").cast("double") / 100.0).alias("volume"),
             (F.sum(100 - F.col("disc_c")).cast("double") / F.count(F.lit(1)).cast("double")).alias("close"))
+        return g.select("date", ticker_of(F.col("k")).alias("ticker"), "volume", "close")
 
     @cached_property
     def names(self) -> DataFrame:
@@ -94,7 +95,13 @@ class Market:
 
     @cached_property
     def classes(self) -> DataFrame:
-        return universe.classify_instrument(universe.codes_ever_seen(self.records))
+        seen = self.records.select("k", "bdi").distinct().select(ticker_of(F.col("k")).alias("ticker"), "bdi")
+        return universe.classify_instrument(universe.codes_ever_seen(seen))
+
+    @cached_property
+    def n_names(self) -> int:
+        """Number of names: an upper bound of any cross-section."""
+        return self.table("supplier").count()
 
     @cached_property
     def index(self) -> DataFrame:
@@ -112,7 +119,8 @@ class Market:
 
     @cached_property
     def monthly(self) -> DataFrame:
-        rec = self.records.withColumn("volume", F.col("vol_c"))
+        day = self.records.groupBy("date", "k").agg(F.sum("vol_c").alias("volume"))
+        rec = day.select("date", ticker_of(F.col("k")).alias("ticker"), "volume")
         return universe.traded_volume_monthly(rec).withColumn("volume_mes", F.col("volume_mes") / 100.0)
 
     @cached_property
@@ -181,7 +189,7 @@ class Market:
     def signal(self) -> DataFrame:
         """Dense (date, idx, ticker) signal over every name the graph ever targets; 0 is no signal."""
         dst = self.graph.select(F.col("dst").alias("ticker")).distinct()
-        z = signal.standardise(self.raw_signal).select("date", "ticker", "raw", "z")
+        z = signal.standardise(self.raw_signal, max_group=self.n_names).select("date", "ticker", "raw", "z")
         grid = self.panel.join(dst, "ticker", "left_semi").select("date", "idx", "ticker")
         return materialise(grid.join(z, ["date", "ticker"], "left").withColumn("z", F.coalesce("z", F.lit(0.0))), "signal")
 
@@ -224,7 +232,7 @@ class Market:
         return self.book.select("date", "idx", "ticker", "r", "adtv")
 
     def ledger_of(self, weights: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-        return pnl.ledger(weights, self.names_panel, self.index, COST, keys)
+        return pnl.ledger(weights, self.names_panel, self.index, COST, keys, self.n_names)
 
     @cached_property
     def ledger(self) -> DataFrame:
@@ -267,7 +275,7 @@ class Market:
         """Each name's own accumulated shock, standardised over the signal's names."""
         names = self.signal.select("ticker").distinct()
         own = self.panel.join(names, "ticker", "left_semi").select("date", "idx", "ticker", F.col("acc").alias("raw"))
-        return signal.standardise(own).select("date", "idx", "ticker", F.nullif("raw", F.lit(0.0)).alias("raw"), "z")
+        return signal.standardise(own, max_group=self.n_names).select("date", "idx", "ticker", F.nullif("raw", F.lit(0.0)).alias("raw"), "z")
 
     @cached_property
     def ic1(self) -> DataFrame:
