@@ -1,0 +1,119 @@
+"""Spectral sums of a symmetric matrix that stays spread over the cluster as blocks.
+
+The positive part of the spectrum needs no eigenvalues: with S = sign(C), sum|l| = <C, S> and sum l|l| = <C C, S>.
+S comes from the Newton-Schulz iteration X <- (3X - X^3)/2, the leading eigenvalue from repeated squaring; both
+need only block products, which are a join on the inner block and a grouped sum.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from marketripple.session import materialise
+
+
+def _key_types(df: DataFrame, keys: Sequence[str]) -> str:
+    return "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.schema if f.name in keys)
+
+
+def pack(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Correlation rows to one binary block per (keys, bi, bj); block names are in sorted order on both axes."""
+    def one(key, pdf):
+        import numpy as np
+        import pandas as pd
+        pdf = pdf.sort_values("i")
+        m = np.array([np.array(r)[np.argsort(np.array(n))] for r, n in zip(pdf["row"], pdf["names"])], float)
+        out = dict(zip([*keys, "bi", "bj"], key))
+        return pd.DataFrame([{**out, "r": m.shape[0], "c": m.shape[1], "m": m.tobytes()}])
+
+    return rows.groupBy(*keys, "bi", "bj").applyInPandas(one, _key_types(rows, keys) + "bi int, bj int, r int, c int, m binary")
+
+
+def _sum_terms(terms: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sum coef * a or coef * a b over the terms of each output block."""
+    def one(key, pdf):
+        import numpy as np
+        import pandas as pd
+        total = None
+        for t in pdf.itertuples(index=False):
+            a = np.frombuffer(t.a).reshape(t.ar, t.ac)
+            if t.b is not None:
+                a = a @ np.frombuffer(t.b).reshape(t.ac, -1)
+            total = t.coef * a if total is None else total + t.coef * a
+        out = dict(zip([*keys, "bi", "bj"], key))
+        return pd.DataFrame([{**out, "r": total.shape[0], "c": total.shape[1], "m": total.tobytes()}])
+
+    return terms.groupBy(*keys, "bi", "bj").applyInPandas(one, _key_types(terms, keys) + "bi int, bj int, r int, c int, m binary")
+
+
+def _products(x: DataFrame, y: DataFrame, keys: Sequence[str], coef: float) -> DataFrame:
+    a = x.select(*keys, "bi", F.col("bj").alias("bk"), F.col("m").alias("a"), F.col("r").alias("ar"), F.col("c").alias("ac"))
+    b = y.select(*keys, F.col("bi").alias("bk"), "bj", F.col("m").alias("b"))
+    return a.join(b, [*keys, "bk"]).select(*keys, "bi", "bj", F.lit(coef).alias("coef"), "a", "ar", "ac", "b")
+
+
+def _alone(x: DataFrame, keys: Sequence[str], coef: float) -> DataFrame:
+    return x.select(*keys, "bi", "bj", F.lit(coef).alias("coef"), F.col("m").alias("a"), F.col("r").alias("ar"), F.col("c").alias("ac"),
+                    F.lit(None).cast("binary").alias("b"))
+
+
+def inner(x: DataFrame, y: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Sum of elementwise products per key."""
+    @F.pandas_udf("double")
+    def dot(a, b):
+        import numpy as np
+        import pandas as pd
+        return pd.Series([float(np.frombuffer(p) @ np.frombuffer(q)) for p, q in zip(a, b)])
+
+    j = x.select(*keys, "bi", "bj", F.col("m").alias("p")).join(y.select(*keys, "bi", "bj", F.col("m").alias("q")), [*keys, "bi", "bj"])
+    return j.select(*keys, dot("p", "q").alias("d")).groupBy(*keys).agg(F.sum("d").alias(name))
+
+
+def _scaled(x: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """x over its Frobenius norm, per key."""
+    norm = inner(x, x, keys, "n")
+
+    @F.pandas_udf("binary")
+    def over(m, s):
+        import numpy as np
+        import pandas as pd
+        return pd.Series([(np.frombuffer(a) / b).tobytes() for a, b in zip(m, s)])
+
+    return x.join(norm, list(keys)).select(*keys, "bi", "bj", "r", "c", over("m", F.sqrt("n")).alias("m"))
+
+
+def spectral_sums(rows: DataFrame, keys: Sequence[str] = (), rounds: int = 80, squarings: int = 24) -> DataFrame:
+    """(keys, n_names, n_eff, ratio, pc1_share) from the blocks of ``correlation_blocks``."""
+    if not keys:
+        return spectral_sums(rows.withColumn("one", F.lit(0)), ["one"], rounds, squarings).drop("one")
+    keys = list(keys)
+    c = materialise(pack(rows, keys), "blocks")
+    x = materialise(_scaled(c, keys), "blocks")
+    for _ in range(rounds):
+        y = materialise(_sum_terms(_products(x, x, keys, 1.0), keys), "blocks")
+        nxt = materialise(_sum_terms(_products(x, y, keys, -0.5).unionByName(_alone(x, keys, 1.5)), keys), "blocks")
+        # |x' - x|^2 = <x',x'> - 2<x',x> + <x,x>; one number per round reaches the driver
+        gap = materialise(_sum_terms(_alone(nxt, keys, 1.0).unionByName(_alone(x, keys, -1.0)), keys), "blocks")
+        done = inner(gap, gap, keys, "g").agg(F.max("g")).first()[0] < 1e-20
+        x = nxt
+        if done:
+            break
+    power = materialise(_scaled(c, keys), "blocks")
+    for _ in range(squarings):
+        power = materialise(_scaled(_sum_terms(_products(power, power, keys, 1.0), keys), keys), "blocks")
+    cc = materialise(_sum_terms(_products(c, c, keys, 1.0), keys), "blocks")
+    size = c.where(F.col("bi") == F.col("bj")).groupBy(*keys).agg(F.sum("r").alias("n_names"))
+    # the limit of the powers is the projector on the leading eigenvector: l = <C, P> / <I, P> with <I, P> = <P, P> for P P = P
+    lead = materialise(_sum_terms(_products(c, power, keys, 1.0), keys), "blocks")
+    parts = [inner(c, c, keys, "e"), inner(c, x, keys, "s1"), inner(cc, x, keys, "s2"), inner(lead, power, keys, "lp"), inner(power, power, keys, "pp")]
+    out = size
+    for p in parts:
+        out = out.join(p, keys)
+    n = F.col("n_names").cast("double")
+    pos, sq = (n + F.col("s1")) / 2, (F.col("e") + F.col("s2")) / 2
+    n_eff = F.try_divide(pos * pos, sq)
+    return out.select(*keys, F.col("n_names").cast("long").alias("n_names"), n_eff.alias("n_eff"), (n_eff / n).alias("ratio"),
+                      F.try_divide(F.try_divide("lp", "pp"), pos).alias("pc1_share"))
