@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -109,6 +109,18 @@ def normal_cdf(x: str | Column) -> Column:
     return F.when(x >= 0, 1.0 - tail).otherwise(tail)
 
 
+SALTS = 8
+
+
+def salt_of(c: str) -> Column:
+    return F.pmod(F.hash(c), F.lit(SALTS))
+
+
+def with_all_salts(df: DataFrame) -> DataFrame:
+    """Repeat the small side of a join once per salt, so that a hot key of the other side spreads over tasks."""
+    return df.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+
+
 def months_between_rule(d: str | Column, shift: int = 0) -> Column:
     """Month end of ``d`` moved by ``shift`` calendar months."""
     d = col(d)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketripple.functions.expr import corr_agg, months_between_rule, pair_count
+from marketripple.functions.expr import corr_agg, months_between_rule, pair_count, salt_of, with_all_salts
 from marketripple.operators.panel import resample_month
 from marketripple.session import materialise
 
@@ -62,7 +62,8 @@ def build_rule_graph(adtv: DataFrame, sectors: DataFrame, ks: Sequence[int] = (2
     members = eligible_members(adtv, sectors, min_adtv)
     heads = group_heads(members, ks, min_members)
     sat = members.select("valid_month", "subsector", "ticker", "root", "v")
-    j = sat.join(heads, ["valid_month", "subsector"])
+    # a subsector may hold a third of all names: members are salted, the few head rows repeat per salt
+    j = sat.withColumn("_salt", salt_of("ticker")).join(with_all_salts(heads), ["valid_month", "subsector", "_salt"])
     if max_satellites is not None:
         j = cap_satellites(j, max_satellites)
     e = j.select("valid_month", "k", "n_heads", "sum_hv", F.col("ticker").alias("dst"), F.col("root").alias("dst_root"),
@@ -222,7 +223,9 @@ def edge_pairs(edges: DataFrame, shocks: DataFrame, fwd: DataFrame, until: str |
     r = fwd.where(F.col("y").isNotNull()).select("date", F.col("ticker").alias("dst"), "y")
     if until:
         s = s.where(F.col("date") <= F.lit(until).cast("date"))
-    return edges.select("kind", "src", "dst").join(s, "src").join(r, ["date", "dst"])
+    e = edges.select("kind", "src", "dst")
+    s = with_all_salts(s.join(e.select("src").distinct(), "src", "left_semi"))
+    return e.withColumn("_salt", salt_of("dst")).join(s, ["src", "_salt"]).drop("_salt").join(r, ["date", "dst"])
 
 
 def direction_by_kind(edges: DataFrame, shocks: DataFrame, fwd: DataFrame, until: str | None = None,

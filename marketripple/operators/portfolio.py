@@ -148,9 +148,15 @@ def smooth_weights(book: DataFrame, n: int = 63, keys: Sequence[str] = ()) -> Da
     return book if n <= 1 else book.withColumn("w", rolling("w", series_window(keys, "ticker"), n, 1))
 
 
-def mask_untradable(book: DataFrame, p: BookParams = BookParams(), keys: Sequence[str] = ()) -> DataFrame:
-    """Zero where the name has no return that day, unless the whole day looks like a non-session."""
-    days = session_coverage(book, p.guard_window, p.guard_min, keys=keys).select(*keys, "date", "sessao")
+def mask_untradable(book: DataFrame, p: BookParams = BookParams(), keys: Sequence[str] = (),
+                    days: DataFrame | None = None) -> DataFrame:
+    """Zero where the name has no return that day, unless the whole day looks like a non-session.
+
+    ``days``: the session flags, where a cheaper frame than ``book`` has the same returns.
+    """
+    if days is None:
+        days = session_coverage(book, p.guard_window, p.guard_min, keys=keys)
+    days = days.select(*keys, "date", "sessao")
     return (book.join(small_by_date(days, keys), [*keys, "date"], "left")
             .withColumn("w", F.when(F.col("r").isNull() & F.col("sessao"), 0.0).otherwise(F.col("w"))).drop("sessao"))
 
@@ -189,9 +195,10 @@ def build_portfolio(book: DataFrame, p: BookParams = BookParams(), keys: Sequenc
     else:
         d = slim if p.smooth_in_loop else smooth_weights(slim, p.smoothing, keys)
     d = materialise(cap_name(cap_liquidity(d), p), "smoothed")
+    days = session_coverage(d, p.guard_window, p.guard_min, keys=keys)
     d = cap_sector(d, p, keys)
     if p.session_mask:
-        d = mask_untradable(d, p, keys)
+        d = mask_untradable(d, p, keys, days)
     return execution_lag(beta_hedge(d, keys), keys=keys)
 
 

@@ -7,18 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketripple.functions.expr import rolling, series_window
+from marketripple.functions.expr import rolling, salt_of, series_window, with_all_salts
 from marketripple.functions.quantiles import group_quantiles
 from marketripple.operators.panel import small_by_date
 
-SALTS = 8
+def _spread(shocks: DataFrame, load: DataFrame) -> DataFrame:
+    """Join shocks to edges on the trigger. A hub can own a third of all edges: edges are salted by target and the
+    trigger shocks, first cut to names that are triggers, repeat per salt."""
+    s = with_all_salts(shocks.join(load.select("src").distinct(), "src", "left_semi"))
+    on = ["src", "_salt", *[c for c in shocks.columns if c in load.columns and c not in ("src",)]]
+    return s.join(load.withColumn("_salt", salt_of("dst")), on)
 
 
 def propagate_static(shocks: DataFrame, edges: DataFrame, value: str = "x", keys: Sequence[str] = ()) -> DataFrame:
     """Sum over edges of shock x strength x direction; parallel edges add up; NULL shocks count 0."""
     load = edges.groupBy(*keys, "src", "dst").agg(F.sum(F.col("strength") * F.col("direction")).alias("_f"))
     s = shocks.select("date", F.col("ticker").alias("src"), F.coalesce(F.col(value), F.lit(0.0)).alias("_x"))
-    return s.join(load, "src").groupBy(*keys, "date", F.col("dst").alias("ticker")).agg(
+    return _spread(s, load).groupBy(*keys, "date", F.col("dst").alias("ticker")).agg(
         F.sum(F.col("_x") * F.col("_f")).alias("raw"))
 
 
@@ -26,7 +31,7 @@ def propagate_static_keyed(shocks: DataFrame, edges: DataFrame, value: str = "x"
     """The same edges for shocks that carry the scenario keys."""
     load = edges.groupBy("src", "dst").agg(F.sum(F.col("strength") * F.col("direction")).alias("_f"))
     s = shocks.select(*keys, "date", F.col("ticker").alias("src"), F.coalesce(F.col(value), F.lit(0.0)).alias("_x"))
-    return s.join(load, "src").groupBy(*keys, "date", F.col("dst").alias("ticker")).agg(
+    return _spread(s, load).groupBy(*keys, "date", F.col("dst").alias("ticker")).agg(
         F.sum(F.col("_x") * F.col("_f")).alias("raw"))
 
 
@@ -42,12 +47,12 @@ def propagate_temporal_ensemble(shocks: DataFrame, graph: DataFrame, value: str
         n_variants = graph.agg(F.count_distinct("variant").alias("n")).select("n").scalar()
     load = graph.groupBy(*keys, "valid_month", "src", "dst").agg(
         F.sum(F.col("strength") * F.col("direction")).alias("_f"))
-    load = load.withColumn("_salt", F.pmod(F.hash("dst"), F.lit(SALTS)))
+    load = load.withColumn("_salt", salt_of("dst"))
     triggers = load.select("valid_month", "src").distinct()
-    s = (shocks.where(F.col(value).isNotNull())
-         .select("date", F.last_day("date").alias("valid_month"), F.col("ticker").alias("src"), F.col(value).alias("_x"))
-         .join(triggers, ["valid_month", "src"], "left_semi")
-         .withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))))
+    s = with_all_salts(
+        shocks.where(F.col(value).isNotNull())
+        .select("date", F.last_day("date").alias("valid_month"), F.col("ticker").alias("src"), F.col(value).alias("_x"))
+        .join(triggers, ["valid_month", "src"], "left_semi"))
     out = s.join(load, ["valid_month", "src", "_salt"]).groupBy(*keys, "date", F.col("dst").alias("ticker")).agg(
         F.sum(F.col("_x") * F.col("_f")).alias("_r"))
     return out.select(*keys, "date", "ticker", F.nullif(F.try_divide("_r", n_variants.cast("double")), F.lit(0.0)).alias("raw")
