@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marketripple.llm import byte_bpe, chunk_fingerprints, lattice_neardup, quality_mil, secret_markov, simhash_pivots, source_mixing, token_counts, url_markov
+from marketripple.llm import byte_bpe, chunk_fingerprints, cover_dedup, lattice_neardup, quality_mil, secret_markov, simhash_pivots, source_mixing, token_counts, url_markov
 from marketripple.llm.common import table
 from marketripple.session import scratch_dir
 
@@ -78,3 +78,8 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_lattice_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_neardup.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+@query
+def op8_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
