@@ -151,3 +151,10 @@ def score(docs: DataFrame, model: GatedAttention, keep: list[str], threshold: fl
             return [pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())]
         return run
     return per_text(docs, make, keep, "score double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: GatedAttention, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns."""
+    def make():
+        return lambda texts: [pa.array(model.score([passages(t) for t in texts]), pa.float64())]
+    return per_text(docs, make, docs.columns, "__score double").where(F.col("__score") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
