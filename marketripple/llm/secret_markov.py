@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and character Markov models of random strings and of ordinary identifiers.
 
-Labelled samples come from the whole corpus: what the fixed patterns find is random, every other run of token characters
-is ordinary. Bigrams of characters are counted inside the tasks and summed; a count table has at most 72 x 72 cells for
+Labelled samples come from the whole corpus: what the fixed patterns find is random; every other run of token characters
+is ordinary, but for long ones with a digit, which are left unlabelled. Bigrams of characters are counted inside the tasks and summed; a count table has at most 72 x 72 cells for
 each model. Random strings are modelled by alphabet (hexadecimal, upper case, mixed), each also shown generated strings,
 so that scarce alphabets have a model too. A long token is a secret if its log-likelihood ratio, the best random model
 against the ordinary one, is high enough in all and per character.
@@ -39,6 +39,8 @@ for _i, _b in enumerate(SYMBOLS):
 N = len(SYMBOLS) + 1
 ORDINARY, RANDOM = 0, ("hex", "upper", "mixed")
 GENERATED = 400
+#: Weight of single characters in a context's distribution.
+BACK = 2.0
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
@@ -58,6 +60,10 @@ def alphabet(value: str) -> int:
     return 1 if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) else 2 if re.fullmatch(r"[A-Z0-9]+", value) else 3
 
 
+def _if_plain(m: re.Match) -> str:
+    return " " if any(c.isdigit() for c in m.group()) else m.group()
+
+
 def pair_counts(text: bytes) -> np.ndarray:
     """Counts of adjacent symbol codes; code 0 stands for everything that ends a token."""
     c = CODE[np.frombuffer(b" " + text + b" ", np.uint8)]
@@ -85,7 +91,7 @@ def corpus_counts(docs: DataFrame, column: str = "text") -> DataFrame:
                         plain.append(text[at:start])
                         at = max(at, end)
                     plain.append(text[at:])
-                    sums[ORDINARY] += pair_counts(" ".join(plain).encode())
+                    sums[ORDINARY] += pair_counts(TOKEN.sub(_if_plain, " ".join(plain)).encode())
         model, pair = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(model.astype(np.int32)), pa.array(pair.astype(np.int32)), pa.array(sums[model, pair])], names=["model", "pair", "n"])
 
@@ -100,8 +106,11 @@ def ratio_tables(counts: list[tuple[int, int, int]]) -> np.ndarray:
     for model, strings in generated_strings().items():
         for s in strings:
             sums[model] += pair_counts(s.encode())
-    p = sums.reshape(4, N, N) + 0.05
-    logs = np.log(p / p.sum(axis=2, keepdims=True)).reshape(4, N * N)
+    pairs = sums.reshape(4, N, N)
+    single = pairs.sum(axis=1) + 0.05
+    single /= single.sum(axis=1, keepdims=True)
+    p = (pairs + BACK * single[:, None, :]) / (pairs.sum(axis=2, keepdims=True) + BACK)  # rare contexts lean on single characters
+    logs = np.log(p).reshape(4, N * N)
     return logs[1:] - logs[ORDINARY]
 
 
