@@ -28,7 +28,7 @@ from marketripple.session import materialise
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 WINDOW = 50
 ANCHOR = WINDOW - PERIOD + 1
-HOT = 100_000
+HOT = 2_000
 #: Words that a worker remembers the hashes of; bounds memory only.
 MEMO = 500_000
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -100,23 +100,20 @@ def _spread(at: np.ndarray, n: int) -> np.ndarray:
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, plain, hot) with the document's shared anchors to its candidate windows."""
+    """(doc_id, text, shared anchors of the document) to its candidate windows."""
     hasher = Hasher()
     for batch in batches:
         for part in slices(batch, "text"):
-            for i, (text, plain, hot) in enumerate(zip(*(part.column(k).to_pylist() for k in (1, 2, 3)))):
-                if not plain and not hot:
+            for i, (text, shared) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
+                if not shared:
                     continue
                 h = hasher.words((text or "").encode().split())
                 at, values = anchors(hasher, h)
-                n = len(h) - WINDOW + 1
-                one, two = (hasher.windows(h, WINDOW, f) for f in FACTORS)
-                for is_hot, shared in ((False, plain), (True, hot)):
-                    if shared:
-                        pos = np.flatnonzero(_spread(at[np.isin(values, np.array(shared, np.int64).view(np.uint64))], n))
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array(np.full(len(pos), is_hot)), pa.array(one[pos].view(np.int64)), pa.array((two[pos] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                            part.column(0).take(pa.array(np.full(len(pos), i))), pa.array(pos.astype(np.int32))], names=["hot", "h1", "h2", "doc_id", "pos"])
+                pos = np.flatnonzero(_spread(at[np.isin(values, np.array(shared, np.int64).view(np.uint64))], len(h) - WINDOW + 1))
+                one, two = (hasher.windows(h, WINDOW, f)[pos] for f in FACTORS)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                    part.column(0).take(pa.array(np.full(len(pos), i))), pa.array(pos.astype(np.int32))], names=["h1", "h2", "doc_id", "pos"])
 
 
 def _merged(fn: Callable) -> Callable:
@@ -174,15 +171,12 @@ def removals(docs: DataFrame, hot: int = HOT) -> DataFrame:
     shared = materialise(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", (F.col("n") > hot).alias("is_hot")), "anchors_shared")
     own = rows.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set(F.when(~F.col("is_hot"), F.col("anchor"))).alias("plain"), F.collect_set(F.when(F.col("is_hot"), F.col("anchor"))).alias("hot"))
     own = materialise(own, "anchors_of")
-    windows = docs.join(own, "doc_id", "left").select("doc_id", "text", "plain", "hot").mapInArrow(_merged(_window_rows), f"hot boolean, h1 bigint, h2 int, doc_id {kind}, pos int")
-    if shared.where("is_hot").isEmpty():
-        plain, many = windows, None
-    else:
-        windows = materialise(windows, "anchor_windows")
-        plain, many = windows.where("not hot"), windows.where("hot")
-    later = plain.select("h1", "h2", "doc_id", "pos").repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id").mapInArrow(_later_windows, f"doc_id {kind}, pos int")
-    if many is not None:
-        first = materialise(many.groupBy("h1", "h2").agg(F.min("doc_id").alias("first")), "windows_first")
+    columns = f"h1 bigint, h2 int, doc_id {kind}, pos int"
+    plain = docs.join(own, "doc_id", "left").select("doc_id", "text", "plain").mapInArrow(_merged(_window_rows), columns)
+    later = plain.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id").mapInArrow(_later_windows, f"doc_id {kind}, pos int")
+    if not shared.where("is_hot").isEmpty():
+        many = materialise(docs.join(own.where("size(hot) > 0"), "doc_id").select("doc_id", "text", "hot").mapInArrow(_merged(_window_rows), columns), "windows_hot")
+        first = materialise(many.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "windows_first")
         later = later.unionByName(many.join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "pos"))
     return later.groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
 
