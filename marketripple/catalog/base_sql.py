@@ -7,8 +7,8 @@ from marketripple.plans import market as P
 
 
 def ticker_sql(k: str) -> str:
-    letters = " || ".join(f"chr(cast(65 + (({k} // 2) // {26**p}) % 26 as integer))" for p in (3, 2, 1, 0))
-    return (f"{letters} || case when {k} % 20 = 19 then '34' when {k} % 20 = 17 then '11' "
+    letters = " || ".join(f"chr(cast(65 + (({k} // 2) // {26**p}) % 26 as integer))" for p in range(12, -1, -1))
+    return (f"regexp_replace({letters}, '^A{{0,9}}', '') || case when {k} % 20 = 19 then '34' when {k} % 20 = 17 then '11' "
             f"when {k} % 2 = 0 then '3' else '4' end")
 
 
@@ -16,6 +16,12 @@ def bdi_sql(k: str) -> str:
     return f"case when {k} % 40 = 17 then '14' when {k} % 50 = 13 then '12' else '02' end"
 
 
+def marked_names(m):
+    """The names, every 23rd with the marker of unknown classes."""
+    from pyspark.sql import functions as F
+    return m.names.withColumn("subsector", F.when(F.col("k") % 23 == 5, "A DEFINIR").otherwise(F.col("subsector")))
+
+
 def rows_back(n: int, lag: int = 0) -> str:
     return f"rows between {n - 1 + lag} preceding and {f'{lag} preceding' if lag else 'current row'}"
 
@@ -315,3 +321,6 @@ o as (select period, avg(n) as n_positions from (select date, count(*) filter (a
  where ticker <> 'IBOV_SYNTHETIC' group by date) join {periods_sql()} on date between lo and hi group by period)
 select g.*, ic, ic_t, ic_n, n_positions, case g.period when 'IS' then 0 when 'OOS' then 1 when 'full' then 2 else 3 end::integer as period_order
 from g left join i on i.period = g.period left join o on o.period = g.period""")
+
+cte("t_marked", f"""select n.ticker, n.sector, case when s_suppkey % 23 = 5 then 'A DEFINIR' else n.subsector end as subsector
+ from t_names n join (select s_suppkey, {ticker_sql('s_suppkey')} as t from supplier) s on s.t = n.ticker""")

@@ -27,7 +27,7 @@ from marketripple.plans.summary import evidence_bundle, placebo_test
 
 Y = P.YEAR
 H = 4
-HORIZONS = (1, 2, 4, 8, 13, 26)
+HORIZONS = (1, 2, 4, 8, 13, 20, 26)
 
 cte("t_ic1", f"""select s.date, {B.corr_sql('s.z', 'f.y')} as ic from t_sig s join t_fwd f on f.date = s.date and f.ticker = s.ticker
  group by s.date having {B.corr_sql('s.z', 'f.y')} is not null""")
@@ -99,15 +99,44 @@ def _breadth(m):
     return BR.effective_breadth(N.slice_period(m.signal.select("date", "ticker", "z"), P.PERIODS), ("period",))
 
 
-query("inf_08_effective_breadth", _breadth)
-query("inf_08_correlation_energy", lambda m: BR.correlation_energy(N.slice_period(m.signal.select("date", "ticker", "z"), P.PERIODS), ("period",)), f"""
-with s as (select period, date, ticker, z from t_sig join {B.periods_sql()} on date between lo and hi where z <> 0),
-k as (select period, ticker from s group by 1, 2 having stddev_samp(z) > 1e-12),
-v as (select s.* from s join k on k.period = s.period and k.ticker = s.ticker),
-c as (select a.period, a.ticker as i, b.ticker as j, {B.corr_sql('a.z', 'b.z')} as c from v a join v b on b.period = a.period and b.date = a.date group by 1, 2, 3),
-n as (select period, count(*) as n_names from k group by 1)
-select n.period, n_names, n_names::double * n_names / (n_names + sum(case when i <> j then coalesce(c, 0) * coalesce(c, 0) else 0 end)) as n_eff_energy
-from n join c on c.period = n.period group by n.period, n_names""", d="n_eff_energy")
+cte("t_br", f"""
+with s as (select period, date, ticker, z from t_sig join {B.periods_sql()} on date between lo and hi),
+k as (select period, ticker, avg(z) as mu, stddev_pop(z) as sd, count(*) as n from s group by 1, 2 having stddev_pop(z) > 1e-12),
+u as (select s.period, s.date, s.ticker, (z - mu) / (sd * sqrt(n)) as v from s join k on k.period = s.period and k.ticker = s.ticker),
+g as (select a.period, a.date as d, b.date as e, sum(a.v * b.v) as g from u a join u b on b.period = a.period and b.ticker = a.ticker group by 1, 2, 3),
+e as (select period, sum(g * g) as e from g group by 1), n as (select period, count(*) as n_names from k group by 1)
+select n.period, n_names, n_names::double * n_names / e as n_eff, n_names::double / e as ratio from n join e on e.period = n.period""")
+query("inf_08_effective_breadth", _breadth, "select * from t_br", d="n_eff ratio")
+query("inf_08_correlation_energy", lambda m: _breadth(m).select("period", "n_names", (F.col("n_names") / F.col("ratio")).alias("energy")),
+      "select period, n_names, n_names / ratio as energy from t_br", d="energy")
+
+
+def attribution_sql(name: str, books: str, names: tuple[str, ...], lags: int, periods: int) -> None:
+    """Registers CTE ``name``: normal equations by Gauss-Jordan steps, errors from each term's score series."""
+    n = len(names) + 1
+    x = ["1.0::double", *names]
+    wide = ", ".join(f"max(case when factor = '{f}' then pnl end) as {f}" for f in names)
+    left = ", ".join(f"sum({x[i]} * {x[j]}) as a_{i}_{j}" for i in range(n) for j in range(n))
+    right = ", ".join(f"{float(i == j)}::double as a_{i}_{n + j}" for i in range(n) for j in range(n))
+    rhs = ", ".join(f"sum({x[i]} * y) as b_{i}, sum({x[i]} * {x[i]}) as d_{i}" for i in range(n))
+    steps = []
+    for k in range(n):
+        head = lambda j: f"case when a_{k}_{k} > 1e-12 * d_{k} then a_{k}_{j} / a_{k}_{k} else 0 end"  # noqa: E731, B023
+        cells = ", ".join(f"{head(j) if i == k else f'a_{i}_{j} - a_{i}_{k} * ({head(j)})'} as a_{i}_{j}" for i in range(n) for j in range(2 * n))
+        steps.append(f"g{k + 1} as (select {', '.join(f'b_{i}, d_{i}' for i in range(n))}, {cells} from g{k})")
+    coef = ", ".join("(" + " + ".join(f"a_{i}_{n + j} * b_{j}" for j in range(n)) + f") as c_{i}" for i in range(n))
+    resid = "y - (" + " + ".join(f"c_{i} * {x[i]}" for i in range(n)) + ")"
+    scores = " union all ".join(f"select date, '{t}' as term, c_{i} as c, (" + " + ".join(f"a_{i}_{n + j} * {x[j]}" for j in range(n)) + ") * u as v from r"
+                                for i, t in enumerate(("alpha_year", *names)))
+    lagged = ", ".join(f"lag(v, {k}) over (partition by term order by date) as v{k}" for k in range(1, lags + 1))
+    var = "sum(v * v)" + "".join(f" + 2 * (1 - {k}::double / {lags + 1}) * coalesce(sum(v * v{k}), 0)" for k in range(1, lags + 1))
+    cte(name, f"""
+with w as (select date, {wide} from ({books}) group by date),
+j as (select p.date, p.net as y, {', '.join(names)} from t_pnl p join w on w.date = p.date where net is not null{''.join(f' and {f} is not null' for f in names)}),
+g0 as (select {rhs}, {left}, {right} from j), {', '.join(steps)},
+o as (select *, {coef} from g{n}), r as (select j.*, o.*, {resid} as u from j, o), s as ({scores}), l as (select *, {lagged} from s),
+q as (select term, any_value(c) as c, count(*) as n, {var} as var from l group by term)
+select term, case when term = 'alpha_year' then c * {periods} else c end as coef, case when var > 0 then c / sqrt(var) end as t, n from q""")
 
 
 def _pos(m):
@@ -124,12 +153,16 @@ query("inf_09_scale_check", lambda m: O.scale_check(_hac_df(m), _pos(m), ("perio
 query("inf_10_required_positions", lambda m: O.required_positions(O.scale_check(_hac_df(m), _pos(m), ("period",)), 2.0, ("period",)), """
 select period, t_now, n_ic_effective, pow(2 / t_now, 2) as multiplier, n_ic_effective * pow(2 / t_now, 2) as n_required from t_scale""",
       d="t_now n_ic_effective multiplier n_required")
-query("inf_11_breadth_for_ir", lambda m: O.breadth_for_ir(_hac_df(m).select("period", "ic"), _breadth(m), periods=Y, keys=("period",)))
+query("inf_11_breadth_for_ir", lambda m: O.breadth_for_ir(_hac_df(m).select("period", "ic"), _breadth(m), periods=Y, keys=("period",)), f"""
+with j as (select h.period, ic, n_eff, n_names, cast(t as double) as ir_target from t_hac h join t_br b on b.period = h.period, (values (0.75), (1.0), (1.5)) as r(t) where ic > 0),
+d as (select *, pow(ir_target / (ic * sqrt({Y})), 2) as breadth_needed from j)
+select period, ir_target, breadth_needed, breadth_needed / n_eff as factor_vs_now, breadth_needed * n_names / n_eff as positions_at_ratio,
+ ic * sqrt(n_eff) * sqrt({Y}) as ir_now from d""", d="ir_target breadth_needed factor_vs_now positions_at_ratio ir_now")
 
-DRAWS = 8
+DRAWS = 300
 cte("t_pl_real", f"""select period, avg(ic) as ic from t_ich join {B.periods_sql()} on date between lo and hi where h = {H} group by period""")
 cte("t_pl_graph", f"""
-with e as (select g.*, n.subsector as block from t_graph g left join t_names n on n.ticker = g.dst),
+with e as (select g.*, n.subsector as block from t_graph g join t_names n on n.ticker = g.dst),
 h as (select *, row_number() over (partition by valid_month, variant, block order by src) as rk from (select distinct valid_month, variant, block, src from e)),
 nh as (select valid_month, variant, block, count(*) as k from h group by 1, 2, 3),
 mem as (select valid_month, variant, block, src as member from e union select valid_month, variant, block, dst from e),
@@ -172,7 +205,9 @@ w as (select s.*, coalesce(z / nullif(t, 0), 0) as w from t_scores s join t on t
 l as (select *, lag(w) over (partition by factor, ticker order by idx) * r as c from w)
 select factor, date, coalesce(sum(c), 0) as pnl from l group by 1, 2""")
 query("inf_14_factor_books", lambda m: O.factor_books(SG.factor_scores(m.panel, **FW)), "select factor, date, pnl from t_fbook", d="pnl")
-query("inf_14_factor_attribution", lambda m: O.factor_attribution(m.pnl, O.factor_books(SG.factor_scores(m.panel, **FW)), NAMES4, L, Y))
+attribution_sql("t_attr4", "select * from t_fbook", NAMES4, L, Y)
+query("inf_14_factor_attribution", lambda m: O.factor_attribution(m.pnl, O.factor_books(SG.factor_scores(m.panel, **FW)), NAMES4, L, Y),
+      "select * from t_attr4", d="coef t")
 _root = math.sqrt(2 * math.log(294))
 _thr = 0.42 * ((1 - O.EULER) * _root + O.EULER / _root) / math.sqrt(Y)
 query("inf_15_deflated_sharpe", lambda m: O.deflated_sharpe(m.series, periods=Y, keys=("series",)), f"""
@@ -228,7 +263,7 @@ def _fz(m, rule):
 query("met_09_variant_table", lambda m: VR.evaluate(m, VR.static_signal(m, VR.stack(
     {"current": m.edges, "sign": _fz(m, "sign"), "conservative": _fz(m, "conservative"), "prior": _fz(m, "prior")}))),
       _family({k: k for k in ("current", "sign", "conservative", "prior")}), d=VT)
-PAIRS = ((1, 4), (4, 12), (12, 12), (4, 24))
+PAIRS = ((1, 4), (2, 12), (4, 12), (12, 12), (4, 24))
 for _a in sorted({a for a, _ in PAIRS}):
     B.static_ctes(f"j{_a}", EDGES["current"], _a)
 for _a, _b in PAIRS:
@@ -250,9 +285,9 @@ def _point_in_time(m):
 query("inf_20_point_in_time_test", _point_in_time, _family({"base": "base", "expanded": "current", "masked": "masked"}), d=VT)
 
 # ---- frozen choice of the peer-group threshold -------------------------------------------------------------
-KGRID = (0, 16, 19, 22)
+KGRID = (0, 12, 14, 16, 18, 19, 20, 22)
 for _k in KGRID:
-    grp = "'sec:' || n.sector" if _k == 0 else (f"case when count(*) over (partition by n.subsector) - 1 >= {_k} then 'sub:' || n.subsector else 'sec:' || n.sector end")
+    grp = "'sec:' || n.sector" if _k == 0 else (f"case when count(case when n.ticker in (select ticker from t_px where close is not null) then 1 end) over (partition by n.subsector) - 1 >= {_k} then 'sub:' || n.subsector else 'sec:' || n.sector end")
     cte(f"t_k{_k}", f"""
 with pg as (select ticker, {grp} as grp from t_names n), x as (select p.date, p.idx, p.ticker, p.r, p.m, grp from t_px p join pg on pg.ticker = p.ticker),
 t as (select date, grp, sum(r) as s, count(r) as n from x group by 1, 2),
@@ -274,15 +309,16 @@ cte("t_frozen_is", " union all ".join(f"select {k}::integer as k, ic as ic_is, i
 def _k_signal(m):
     """Static signal per threshold k of the peer-group choice (0: always the sector)."""
     base = _with_class(m, "sector", "subsector")
+    priced = m.prices.where(F.col("close").isNotNull()).select("ticker").distinct()
     out = None
     for k in KGRID:
-        g = S.peer_group_choice(m.names, k or None).select("ticker", "peer_group")
+        g = S.peer_group_choice(m.names, k or None, priced).select("ticker", "peer_group")
         d = S.group_mean_of_others(base.join(g, "ticker"), "peer_group").withColumn("k", F.lit(k))
         out = d if out is None else out.unionByName(d)
     sh = S.two_factor_shock(out, N2, keys=("k",)).select("k", "date", "ticker", F.col("eps2").alias("x"))
     load = m.edges.select("src", "dst", "strength", "direction")
     raw = SG.propagate_static_keyed(sh, load, keys=("k",))
-    z = SG.standardise(materialise(raw, "raw"), keys=("k",), max_group=m.n_names).select("k", "date", "ticker", "z")
+    z = SG.standardise(materialise(raw, "raw"), keys=("k",)).select("k", "date", "ticker", "z")
     dst = load.select(F.col("dst").alias("ticker")).distinct()
     grid = m.panel.select("date", "idx", "ticker").join(dst, "ticker", "left_semi").withColumn("k", F.explode(F.array(*[F.lit(k) for k in KGRID])))
     dense = grid.join(z, ["k", "date", "ticker"], "left").withColumn("z", F.coalesce("z", F.lit(0.0)))
@@ -308,11 +344,26 @@ def _decision(m):
     return O.frozen_decision(oos.where(F.col("k") == 0), oos.join(win, "k"))
 
 
-query("inf_17_frozen_decision", _decision)
+cte("t_k_signal", " union all ".join(f"select {k}::integer as k, date, ticker, z from t_ss_k{k}" for k in KGRID))
+cte("t_k_br", f"""
+with s as (select * from t_k_signal where date > date '{P.CUT}'),
+n as (select k, ticker, avg(z) as mu, stddev_pop(z) as sd, count(*) as n from s group by 1, 2 having stddev_pop(z) > 1e-12),
+u as (select s.k, s.date, s.ticker, (z - mu) / (sd * sqrt(n)) as v from s join n on n.k = s.k and n.ticker = s.ticker),
+g as (select a.k, a.date as d, b.date as e, sum(a.v * b.v) as g from u a join u b on b.k = a.k and b.ticker = a.ticker group by 1, 2, 3),
+e as (select k, sum(g * g) as e from g group by 1), c as (select k, count(*) as n_names from n group by 1)
+select c.k, n_names::double * n_names / e as n_eff from c join e on e.k = c.k""")
+cte("t_k_oos", " union all ".join(f"select {k}::integer as k, sharpe from t_vt_k{k} where period = 'OOS'" for k in KGRID))
+query("inf_17_frozen_decision", _decision, """
+with w as (select k from t_frozen_is order by ic_is desc, k limit 1),
+b as (select sharpe as sharpe_base, n_eff as breadth_base from t_k_oos o join t_k_br r on r.k = o.k where o.k = 0),
+x as (select sharpe as sharpe_winner, n_eff as breadth_winner from t_k_oos o join t_k_br r on r.k = o.k join w on w.k = o.k),
+d as (select *, sharpe_winner - sharpe_base as d_sharpe, breadth_winner - breadth_base as d_breadth from b, x)
+select *, case when d_sharpe > 0.05 and d_breadth > 1 then 'adopt' when d_sharpe > 0.05 then 'sharpe_only' else 'reject' end as decision from d""",
+      d="sharpe_base breadth_base sharpe_winner breadth_winner d_sharpe d_breadth")
 
 # ---- bundle, resampling, documented cuts -------------------------------------------------------------------
 query("inf_21_evidence_bundle", lambda m: evidence_bundle(m))
-BOOT = 200
+BOOT = 1000
 cte("t_boot", f"""
 with p as (select row_number() over (order by date) - 1 as pos, net as r, count(*) over () as n from t_pnl),
 d as (select draw, b, n, ('0x' || substr(md5('42|' || draw || '|' || b), 1, 8))::bigint % greatest(n - 12 + 1, 1) as start
@@ -358,7 +409,7 @@ def _industry(m):
     return O.industry_momentum_scores(SG.factor_scores(m.panel, **FW), m.names)
 
 
-query("inf_23_industry_momentum", lambda m: O.factor_books(_industry(m)), """
+cte("t_indbook", """
 with g as (select s.date, n.subsector, avg(score) as g from t_scores s join t_names n on n.ticker = s.ticker where factor = 'mom12_1' group by 1, 2),
 x as (select s.date, s.idx, s.ticker, s.r, g.g as score from t_scores s join t_names n on n.ticker = s.ticker
  join g on g.date = s.date and g.subsector = n.subsector where factor = 'mom12_1'),
@@ -366,6 +417,8 @@ z as (select x.*, (score - avg(score) over (partition by date)) / case when stdd
   else stddev_samp(score) over (partition by date) end as z from x),
 w as (select *, coalesce(z / nullif(sum(abs(z)) over (partition by date), 0), 0) as w from z),
 l as (select *, lag(w) over (partition by ticker order by idx) * r as c from w)
-select 'industry_mom' as factor, date, coalesce(sum(c), 0) as pnl from l group by date""", d="pnl")
+select 'industry_mom' as factor, date, coalesce(sum(c), 0) as pnl from l group by date""")
+query("inf_23_industry_momentum", lambda m: O.factor_books(_industry(m)), "select * from t_indbook", d="pnl")
+attribution_sql("t_attr5", "select * from t_fbook union all select * from t_indbook", (*NAMES4, "industry_mom"), L, Y)
 query("inf_23_attribution_with_industry", lambda m: O.factor_attribution(
-    m.pnl, O.factor_books(SG.factor_scores(m.panel, **FW).unionByName(_industry(m))), (*NAMES4, "industry_mom"), L, Y))
+    m.pnl, O.factor_books(SG.factor_scores(m.panel, **FW).unionByName(_industry(m))), (*NAMES4, "industry_mom"), L, Y), "select * from t_attr5", d="coef t")

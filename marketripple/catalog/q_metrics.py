@@ -117,8 +117,8 @@ select p.series, n, total_return, annual_return, vol, max_drawdown, case when p.
  case when p.series <> 'cash' then sortino end as sortino, case when p.series <> 'cash' then calmar end as calmar, sharpe_over_cash,
  case when o.series is not null then total_return - (select total_return from t_perf where series = 'cash') end as excess
 from t_perf p left join o on o.series = p.series""", d=PERF + " sharpe_over_cash excess")
-query("met_17_signals_table", lambda m: O.signals_table(m.weights, m.names, "1999-01-01"), """
-with z as (select w.ticker, n.subsector, round(sum(abs(w)), 9) as size from t_w w join t_names n on n.ticker = w.ticker group by 1, 2),
+query("met_17_signals_table", lambda m: O.signals_table(m.weights, B.marked_names(m), "1999-01-01"), """
+with z as (select w.ticker, n.subsector, round(sum(abs(w)), 9) as size from t_w w join t_marked n on n.ticker = w.ticker where n.subsector <> 'A DEFINIR' group by 1, 2),
 c as (select *, row_number() over (partition by subsector order by size desc, ticker) as rn from z),
 p as (select ticker, subsector from c where rn = 1 order by size desc, ticker limit 6),
 a as (select w.ticker, p.subsector, last_day(date) as month_end, avg(w) as weight from t_w w join p on p.ticker = w.ticker

@@ -97,9 +97,10 @@ b as (select *, case when n >= {N2} and det > 1e-14*cxx*czz and det > 0 then (cx
 select date, idx, ticker, r, r - (sy-b1*sx-b2*sz)/n - b1*x - b2*z as eps2, b1 as beta_m, b2 as beta_g from b""")
 query("shk_03_two_factor_shock", lambda m: S.two_factor_shock(_grouped(m), N2).select("date", "ticker", "eps2", "beta_m", "beta_g"),
       "select date, ticker, eps2, beta_m, beta_g from t_two", d="eps2 beta_m beta_g")
-query("shk_04_peer_group_choice", lambda m: S.peer_group_choice(m.names, 18).select("ticker", "peer_group"), """
-select ticker, case when count(*) over (partition by subsector) - 1 >= 18 then 'sub:' || subsector else 'sec:' || sector end
- as peer_group from t_names""")
+# every 23rd name has no class yet, and names without a price are no peers
+query("shk_04_peer_group_choice", lambda m: S.peer_group_choice(B.marked_names(m), 15, m.prices.where(F.col("close").isNotNull())).select("ticker", "peer_group"), """
+with c as (select subsector, count(*) as n from t_marked where subsector <> 'A DEFINIR' and ticker in (select ticker from t_px where close is not null) group by 1)
+select ticker, case when c.n - 1 >= 15 then 'sub:' || m.subsector else 'sec:' || m.sector end as peer_group from t_marked m left join c on c.subsector = m.subsector""")
 query("shk_05_accumulate_shock", lambda m: S.accumulate_shock(
     m.panel.select("date", "idx", "ticker", "eps"), P.ACC, P.ACC_LAG, P.ACC_MIN), "select date, idx, ticker, eps, acc from t_panel", d="eps acc")
 query("shk_06_restrict_targets", lambda m: S.restrict_targets(

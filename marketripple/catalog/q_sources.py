@@ -68,7 +68,7 @@ query("src_02_ingest_daily_tables", lambda m: U.traded_volume_daily(O.parse_reco
       d="volume")
 query("src_03_ingest_counters", lambda m: O.ingest_counters(_landed(m), _source()), """
 select source, count(*) as n_lines, count(*) filter (short) as n_wrong_width, count(*) filter (not short and not header) as n_records,
- count(*) filter (not short and not header and not other) as n_cash from t_line group by 1""")
+ count(*) filter (not short and not header and not other) as n_cash, 0::bigint as n_bad_number from t_line group by 1""")
 
 
 def _fallback(m):

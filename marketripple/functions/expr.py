@@ -109,19 +109,34 @@ def normal_cdf(x: str | Column) -> Column:
     return F.when(x >= 0, 1.0 - tail).otherwise(tail)
 
 
-SALTS = 8
+ROWS_PER_SALT = 20_000
 
 
-def salt_of(c: str) -> Column:
-    return F.pmod(F.hash(c), F.lit(SALTS))
+def salt_counts(df: DataFrame, on: Sequence[str], rows: int = ROWS_PER_SALT) -> DataFrame:
+    """(on, _salts): into how many parts the rows of a key are cut, one for up to ``rows`` of them."""
+    return df.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_salts"))
 
 
-def with_all_salts(df: DataFrame) -> DataFrame:
-    """Repeat the small side of a join once per salt, so that a hot key of the other side spreads over tasks."""
-    return df.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+def salted_join(small: DataFrame, large: DataFrame, on: Sequence[str], by: str) -> DataFrame:
+    """Inner join in which a hot key of ``large`` is cut into parts by a hash of ``by``, and only the rows of ``small``
+    with such a key repeat per part. Rows of ``small`` without a match leave before that."""
+    on = list(on)
+    parts = salt_counts(large, on)
+    s = small.join(parts, on).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    big = large.join(parts, on).withColumn("_salt", F.pmod(F.hash(by), F.col("_salts"))).drop("_salts")
+    return s.join(big, [*on, "_salt"]).drop("_salt")
 
 
 def months_between_rule(d: str | Column, shift: int = 0) -> Column:
     """Month end of ``d`` moved by ``shift`` calendar months."""
     d = col(d)
     return F.last_day(F.add_months(F.trunc(d, "MM"), shift))
+
+
+#: Fixed value: the class of names that have none yet.
+UNKNOWN_CLASS = "A DEFINIR"
+
+
+def known_class(c: str | Column) -> Column:
+    """Whether a class is given; the marker of unknown ones is no class."""
+    return F.coalesce(col(c) != UNKNOWN_CLASS, F.lit(False))

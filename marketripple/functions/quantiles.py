@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-SMALL_GROUP = 100_000
-
 
 def group_quantiles(
     df: DataFrame,
@@ -18,7 +16,6 @@ def group_quantiles(
     probs: Sequence[float],
     names: Sequence[str],
     accuracy: int = 10_000,
-    max_group: int | None = None,
 ) -> DataFrame:
     """One row per group with the linearly interpolated quantiles of ``value``.
 
@@ -26,15 +23,10 @@ def group_quantiles(
     sketch first brackets each wanted rank (its rank error is at most n/accuracy), and only values inside the
     brackets are counted exactly; copies of one value collapse in the map-side combine. The result is exact
     and no task holds more than about 6n/accuracy values of a group
-    (all of them where the group has at most ``accuracy`` rows). Where the caller has counted an upper bound of
-    the group size (``max_group``) and it is small, the built-in needs one shuffle and is used instead.
+    (all of them where the group has at most ``accuracy`` rows).
     """
     d = df.where(F.col(value).isNotNull())
     by = list(by)
-    if max_group is not None and max_group <= SMALL_GROUP:
-        arr = F.percentile(F.col(value), F.array(*[F.lit(float(p)) for p in probs]))
-        out = d.groupBy(*by).agg(arr.alias("_q"))
-        return out.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     eps = 3.0 / accuracy
     edges = [e for p in probs for e in (max(p - eps, 0.0), min(p + eps, 1.0))]
     lits = F.array(*[F.lit(e) for e in edges])

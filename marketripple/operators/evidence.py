@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketripple.functions.expr import (
-    compound_agg, corr_agg, kurt_agg, mean_t, normal_cdf, series_window, sharpe_agg, skew_agg, slope_agg,
+    compound_agg, corr_agg, known_class, kurt_agg, mean_t, normal_cdf, series_window, sharpe_agg, skew_agg, slope_agg,
 )
 
 EULER = 0.5772156649
@@ -88,7 +88,7 @@ def newey_west_mean(ic: DataFrame, max_lags: int = 21, keys: Sequence[str] = (),
     """t of a mean with Bartlett weights at a fixed and at the rule-of-thumb lag, and autocorrelations.
 
     Lags are window offsets of a per-date series; the rule 4(n/100)^(2/9) stays below ``auto_cap`` for any
-    series up to three million dates.
+    series up to three million dates, and a longer one is an error.
     """
     lags = range(1, max(max_lags, auto_cap) + 1)
     w = series_window(keys, order="date")
@@ -107,7 +107,8 @@ def newey_west_mean(ic: DataFrame, max_lags: int = 21, keys: Sequence[str] = (),
         var = (F.col("g0") + 2 * F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)) / (n * n)
         return F.when(var > 0, F.try_divide(F.col("ic"), F.sqrt(F.greatest(var, F.lit(0.0)))))
 
-    auto = F.floor(4 * F.pow(n / 100, F.lit(2.0 / 9.0))).cast("double")
+    rule = F.floor(4 * F.pow(n / 100, F.lit(2.0 / 9.0))).cast("double")
+    auto = F.when(rule <= len(lags), rule).otherwise(F.raise_error(F.lit("the lag rule exceeds auto_cap")).cast("double"))
     rho_sum = F.aggregate(F.transform("rho", lambda x: F.coalesce(x, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
     g = g.select(
         *keys, "n", "ic", "std_ic", F.try_divide(F.col("ic"), F.col("std_ic") / F.sqrt(n)).alias("t_naive"),
@@ -158,7 +159,7 @@ def placebo_graphs(graph: DataFrame, subsectors: DataFrame, draws: int, seed: in
     The draw is the order of a hash of (seed, draw, block, member), so it is reproducible and needs no random
     state. Only as many ranks as the largest block has heads are kept, which cuts the ranking per task.
     """
-    sub = subsectors.select(F.col("ticker").alias("dst"), F.col("subsector").alias("block"))
+    sub = subsectors.where(known_class("subsector")).select(F.col("ticker").alias("dst"), F.col("subsector").alias("block"))
     e = graph.join(sub, "dst", "left")
     by = ["valid_month", "variant", "block"]
     known = e.where(F.col("block").isNotNull())
@@ -220,34 +221,51 @@ def industry_momentum_scores(scores: DataFrame, sectors: DataFrame, base: str =
     return zscore_xsec(d, "score", "z", keys=("factor",), fill=None)
 
 
-def _ols_hac(pdf, names, lags, periods):
-    """OLS with intercept and Bartlett errors for one key; rows are one per date."""
-    import numpy as np
-    import pandas as pd
-    pdf = pdf.sort_values("date")
-    x = np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy(float)])
-    y = pdf["y"].to_numpy(float)
-    inv = np.linalg.pinv(x.T @ x)
-    b = inv @ x.T @ y
-    u = (y - x @ b)[:, None] * x
-    s = u.T @ u
-    for k in range(1, min(lags, len(pdf) - 1) + 1):
-        g = u[k:].T @ u[:-k]
-        s = s + (1 - k / (lags + 1)) * (g + g.T)
-    t = b / np.sqrt(np.diag(inv @ s @ inv))
-    terms = ["alpha_year", *names]
-    return pd.DataFrame({"term": terms, "coef": [b[0] * periods, *b[1:]], "t": t, "n": len(pdf)})
+def solved(rows: DataFrame, m: int, prefix: str = "a") -> DataFrame:
+    """Gauss-Jordan steps over the columns a_i_j of an m x 2m system, one projection per pivot; the right half ends as the inverse
+    of a symmetric positive left half. A column that adds nothing to those before it (its pivot is a 1e-12th of ``d_k``,
+    what its diagonal was, or less) gets zeros."""
+    name = lambda i, j: f"{prefix}_{i}_{j}"
+    rest = [c for c in rows.columns if not c.startswith(prefix + "_")]
+    for k in range(m):
+        step = []
+        for i in range(m):
+            for j in range(2 * m):
+                head = F.when(F.col(name(k, k)) > 1e-12 * F.col(f"d_{k}"), F.col(name(k, j)) / F.col(name(k, k))).otherwise(0.0)
+                step.append((head if i == k else F.col(name(i, j)) - F.col(name(i, k)) * head).alias(name(i, j)))
+        rows = rows.select(*rest, *step)
+    return rows
 
 
 def factor_attribution(pnl: DataFrame, factors: DataFrame, names: Sequence[str], lags: int = 21, periods: int = 252,
                        value: str = "net") -> DataFrame:
-    """(term, coef, t, n) of the P&L on the factor books. The factor P&L comes from Spark; the small normal
-    equations are solved in one grouped step over a per-date series (bounded by the calendar)."""
-    wide = factors.groupBy("date").pivot("factor", list(names)).agg(F.first("pnl"))
-    j = pnl.select("date", F.col(value).alias("y")).join(wide, "date").dropna()
-    names = list(names)
-    return j.groupBy(F.lit(0).alias("k")).applyInPandas(
-        lambda pdf: _ols_hac(pdf, names, lags, periods), "term string, coef double, t double, n long")
+    """(term, coef, t, n) of the P&L on the factor books with intercept; errors with Bartlett weights.
+
+    The cross products are one aggregate, their inverse a chain of projections of one row. A coefficient's error is the
+    long-run variance of its own score series (inverse row times regressors times residual), so it needs lagged products
+    of one series per term and no matrix of them. One row per date, so the date windows are small.
+    """
+    names, m = list(names), len(names) + 1
+    wide = factors.groupBy("date").pivot("factor", names).agg(F.first("pnl"))
+    d = pnl.select("date", F.col(value).alias("y")).join(wide, "date").dropna().withColumn("_1", F.lit(1.0))
+    x = [F.col("_1"), *map(F.col, names)]
+    cross = d.agg(*[F.sum(x[i] * x[j]).alias(f"a_{i}_{j}") for i in range(m) for j in range(m)], *[F.sum(x[i] * F.col("y")).alias(f"b_{i}") for i in range(m)])
+    cross = cross.select("*", *[F.lit(float(i == j)).alias(f"a_{i}_{m + j}") for i in range(m) for j in range(m)], *[F.col(f"a_{i}_{i}").alias(f"d_{i}") for i in range(m)])
+    inv = solved(cross, m).select(*[f"a_{i}_{m + j}" for i in range(m) for j in range(m)], *[f"b_{i}" for i in range(m)])
+    dot = lambda a: sum(a[1:], a[0])
+    coef = [dot([F.col(f"a_{i}_{m + j}") * F.col(f"b_{j}") for j in range(m)]).alias(f"c_{i}") for i in range(m)]
+    one = inv.select(*[f"a_{i}_{m + j}" for i in range(m) for j in range(m)], *coef).withColumn("_k", F.lit(1))
+    d = d.withColumn("_k", F.lit(1)).join(F.broadcast(one), "_k")  # one row
+    u = F.col("y") - dot([F.col(f"c_{i}") * x[i] for i in range(m)])
+    terms = ["alpha_year", *names]
+    score = [F.struct(F.lit(t).alias("term"), F.col(f"c_{i}").alias("c"), (dot([F.col(f"a_{i}_{m + j}") * x[j] for j in range(m)]) * u).alias("v")) for i, t in enumerate(terms)]
+    s = d.select("date", F.explode(F.array(*score)).alias("s")).select("date", "s.*")
+    w = Window.partitionBy("term").orderBy("date")
+    s = s.select("*", *[F.lag("v", k).over(w).alias(f"v{k}") for k in range(1, lags + 1)])
+    lagged = [2 * (1 - k / (lags + 1)) * F.coalesce(F.sum(F.col("v") * F.col(f"v{k}")), F.lit(0.0)) for k in range(1, lags + 1)]
+    g = s.groupBy("term").agg(F.first("c").alias("c"), F.count("v").alias("n"), (F.sum(F.col("v") * F.col("v")) + dot(lagged)).alias("var"))
+    year = F.when(F.col("term") == "alpha_year", F.col("c") * periods).otherwise(F.col("c"))
+    return g.select("term", year.alias("coef"), F.when(F.col("var") > 0, F.col("c") / F.sqrt("var")).alias("t"), "n")
 
 
 def deflated_sharpe(s: DataFrame, r: str = "r", n_configs: int = 294, sd_sharpes: float = 0.42, periods: int = 252,

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketripple.functions.expr import corr_agg, months_between_rule, pair_count, salt_of, with_all_salts
+from marketripple.functions.expr import corr_agg, known_class, months_between_rule, pair_count, salted_join
 from marketripple.operators.panel import resample_month
 from marketripple.session import materialise
 
@@ -24,9 +24,9 @@ def lagged_month_end(adtv: DataFrame) -> DataFrame:
     return moved.join(F.broadcast(months), "valid_month", "left_semi")  # one row per calendar month
 
 
-def eligible_members(adtv: DataFrame, sectors: DataFrame, min_adtv: float, marker: str = "A DEFINIR") -> DataFrame:
+def eligible_members(adtv: DataFrame, sectors: DataFrame, min_adtv: float) -> DataFrame:
     """(valid_month, subsector, ticker, root, v) of liquid names with a known subsector."""
-    known = sectors.where(F.col("subsector").isNotNull() & (F.col("subsector") != marker)).select("ticker", "subsector")
+    known = sectors.where(known_class("subsector")).select("ticker", "subsector")
     return (lagged_month_end(adtv).where(F.col("v") >= min_adtv).join(known, "ticker")
             .withColumn("root", ticker_root("ticker")))
 
@@ -62,8 +62,8 @@ def build_rule_graph(adtv: DataFrame, sectors: DataFrame, ks: Sequence[int] = (2
     members = eligible_members(adtv, sectors, min_adtv)
     heads = group_heads(members, ks, min_members)
     sat = members.select("valid_month", "subsector", "ticker", "root", "v")
-    # a subsector may hold a third of all names: members are salted, the few head rows repeat per salt
-    j = sat.withColumn("_salt", salt_of("ticker")).join(with_all_salts(heads), ["valid_month", "subsector", "_salt"])
+    # a subsector may hold a third of all names: such members are cut by name, the few head rows repeat
+    j = salted_join(heads, sat, ["valid_month", "subsector"], "ticker")
     if max_satellites is not None:
         j = cap_satellites(j, max_satellites)
     e = j.select("valid_month", "k", "n_heads", "sum_hv", F.col("ticker").alias("dst"), F.col("root").alias("dst_root"),
@@ -224,8 +224,7 @@ def edge_pairs(edges: DataFrame, shocks: DataFrame, fwd: DataFrame, until: str |
     if until:
         s = s.where(F.col("date") <= F.lit(until).cast("date"))
     e = edges.select("kind", "src", "dst")
-    s = with_all_salts(s.join(e.select("src").distinct(), "src", "left_semi"))
-    return e.withColumn("_salt", salt_of("dst")).join(s, ["src", "_salt"]).drop("_salt").join(r, ["date", "dst"])
+    return salted_join(s, e, ["src"], "dst").join(r, ["date", "dst"])
 
 
 def direction_by_kind(edges: DataFrame, shocks: DataFrame, fwd: DataFrame, until: str | None = None,
@@ -273,7 +272,7 @@ def two_hop_paths(edges: DataFrame) -> DataFrame:
     """src -> mid -> dst with multiplied strengths, summed over the middle names."""
     a = edges.select("src", F.col("dst").alias("mid"), F.col("strength").alias("f1"))
     b = edges.select(F.col("src").alias("mid"), "dst", F.col("strength").alias("f2"))
-    return a.join(b, "mid").where(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(
+    return salted_join(b, a, ["mid"], "src").where(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(
         F.count("mid").alias("n_paths"), F.sum(F.col("f1") * F.col("f2")).alias("strength"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketripple.functions.expr import (
+    known_class,
     compound_agg, corr_agg, kurt_agg, median, rolling, series_window, sharpe_agg, skew_agg, slope_agg,
 )
 from marketripple.operators.portfolio import exposures  # noqa: F401  (part of the report tables)
@@ -208,7 +209,7 @@ def period_comparison_table(days: DataFrame, periods: int = 252, keys: Sequence[
 def signals_table(weights: DataFrame, sectors: DataFrame, since: str, top: int = 6) -> DataFrame:
     """Largest name of each subsector, the ``top`` of these, and their monthly mean weight with its side."""
     size = weights.where(F.col("ticker") != HEDGE_TICKER).groupBy("ticker").agg(
-        F.round(F.sum(F.abs("w")), 9).alias("size")).join(sectors.where(F.col("subsector").isNotNull()).select("ticker", "subsector"), "ticker")
+        F.round(F.sum(F.abs("w")), 9).alias("size")).join(sectors.where(known_class("subsector")).select("ticker", "subsector"), "ticker")
     best = size.groupBy("subsector").agg(F.min(F.struct((-F.col("size")).alias("ns"), "ticker")).alias("b"))
     chosen = best.orderBy("b.ns", "b.ticker").limit(top).select("b.ticker", "subsector")
     m = (weights.where(F.col("date") >= F.lit(since).cast("date")).join(F.broadcast(chosen), "ticker")  # at most `top` rows

@@ -35,13 +35,15 @@ def densify(panel: DataFrame, calendar: DataFrame, fill: Mapping[str, float | No
 
     Each observed row emits the calendar positions up to the next observation of its ticker, so the grid needs
     one shuffle by ticker and no calendar x universe product; later windows by ticker reuse that partitioning.
+    A second row of one ticker and date is an error: how to merge it (sum of volumes, last price) is the caller's rule.
     """
     values = list(fill)
     known = panel.join(small_by_date(calendar), "date").select(*keys, "ticker", "idx", *values)
     last = calendar.agg(F.max("idx").alias("m")).select("m").scalar()
     w = series_window(keys, "ticker")
     spans = known.select(
-        "*", F.when(F.row_number().over(w) == 1, F.lit(0)).otherwise(F.col("idx")).alias("_from"),
+        "*", F.when(F.row_number().over(w) == 1, F.lit(0)).when(F.lag("idx").over(w) < F.col("idx"), F.col("idx")).otherwise(
+            F.raise_error(F.concat(F.lit("two rows of one date for "), F.col("ticker"))).cast("int")).alias("_from"),
         F.coalesce(F.lead("idx").over(w) - 1, last).alias("_to"))
     grid = spans.select("*", F.explode(F.sequence("_from", "_to")).alias("_i"))
     here = F.col("_i") == F.col("idx")
@@ -147,12 +149,12 @@ def to_wide(panel: DataFrame, value: str, names: Sequence[str], column: str = "t
 
 
 def xsec_stat(panel: DataFrame, value: str, probs: Sequence[float] = (0.5,), names: Sequence[str] = ("median",),
-              keys: Sequence[str] = (), max_group: int | None = None) -> DataFrame:
+              keys: Sequence[str] = ()) -> DataFrame:
     """Per-date count, mean, sample deviation and quantiles over the cross-section."""
     by = [*keys, "date"]
     base = panel.groupBy(*by).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
-    return base.join(group_quantiles(panel, by, value, probs, names, max_group=max_group), by, "left")
+    return base.join(group_quantiles(panel, by, value, probs, names), by, "left")
 
 
 def active_window(weights: DataFrame, keys: Sequence[str] = (), floor: float = 1e-9) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketripple.functions.expr import series_window
+from marketripple.functions.expr import known_class, series_window
 from marketripple.functions.quantiles import group_quantiles
 
 
@@ -58,11 +58,15 @@ def group_mean_of_others(panel: DataFrame, group: str, out: str = "g", r: str =
             .withColumn(out, F.try_divide(F.col("_s") - own, (F.col("_n") - has).cast("double"))).drop("_s", "_n"))
 
 
-def peer_group_choice(members: DataFrame, min_pairs: int | None = 5) -> DataFrame:
-    """Narrow class when it has enough peers, else the sector. One row per ticker."""
+def peer_group_choice(members: DataFrame, min_pairs: int | None = 5, priced: DataFrame | None = None) -> DataFrame:
+    """Narrow class when it is known and has enough peers, else the sector. One row per ticker.
+
+    With ``priced`` (ticker) only names that occur there count as peers.
+    """
     if min_pairs is None:
         return members.withColumn("peer_group", F.col("sector"))
-    size = members.groupBy("subsector").agg(F.count("ticker").alias("_n"))
+    peers = members if priced is None else members.join(priced.select("ticker").distinct(), "ticker", "left_semi")
+    size = peers.where(known_class("subsector")).groupBy("subsector").agg(F.count("ticker").alias("_n"))
     return (members.join(size, "subsector", "left")
             .withColumn("peer_group", F.when(F.col("_n") - 1 >= min_pairs, F.concat(F.lit("sub:"), "subsector"))
                         .otherwise(F.concat(F.lit("sec:"), "sector"))).drop("_n"))

@@ -7,16 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketripple.functions.expr import rolling, salt_of, series_window, with_all_salts
+from marketripple.functions.expr import rolling, salted_join, series_window
 from marketripple.functions.quantiles import group_quantiles
 from marketripple.operators.panel import small_by_date
 
 def _spread(shocks: DataFrame, load: DataFrame) -> DataFrame:
-    """Join shocks to edges on the trigger. A hub can own a third of all edges: edges are salted by target and the
-    trigger shocks, first cut to names that are triggers, repeat per salt."""
-    s = with_all_salts(shocks.join(load.select("src").distinct(), "src", "left_semi"))
-    on = ["src", "_salt", *[c for c in shocks.columns if c in load.columns and c not in ("src",)]]
-    return s.join(load.withColumn("_salt", salt_of("dst")), on)
+    """Join shocks to edges on the trigger. A hub can own a third of all edges: its edges are cut by target."""
+    return salted_join(shocks, load, ["src", *[c for c in shocks.columns if c in load.columns and c not in ("src",)]], "dst")
 
 
 def propagate_static(shocks: DataFrame, edges: DataFrame, value: str = "x", keys: Sequence[str] = ()) -> DataFrame:
@@ -40,31 +37,26 @@ def propagate_temporal_ensemble(shocks: DataFrame, graph: DataFrame, value: str
     """Mean over the graph's variants of the propagated shock; an exact 0 is no signal (NULL).
 
     Edges valid in the month of the date apply. Variants collapse to one load per (month, src, dst) before the
-    join. A head of a large group can hold a third of all edges, so edges are salted by target and the few
-    trigger shocks are repeated per salt.
+    join. A head of a large group can hold a third of all edges, so its edges are cut by target.
     """
     if n_variants is None:
         n_variants = graph.agg(F.count_distinct("variant").alias("n")).select("n").scalar()
     load = graph.groupBy(*keys, "valid_month", "src", "dst").agg(
         F.sum(F.col("strength") * F.col("direction")).alias("_f"))
-    load = load.withColumn("_salt", salt_of("dst"))
-    triggers = load.select("valid_month", "src").distinct()
-    s = with_all_salts(
-        shocks.where(F.col(value).isNotNull())
-        .select("date", F.last_day("date").alias("valid_month"), F.col("ticker").alias("src"), F.col(value).alias("_x"))
-        .join(triggers, ["valid_month", "src"], "left_semi"))
-    out = s.join(load, ["valid_month", "src", "_salt"]).groupBy(*keys, "date", F.col("dst").alias("ticker")).agg(
+    s = shocks.where(F.col(value).isNotNull()).select(
+        "date", F.last_day("date").alias("valid_month"), F.col("ticker").alias("src"), F.col(value).alias("_x"))
+    out = salted_join(s, load, ["valid_month", "src"], "dst").groupBy(*keys, "date", F.col("dst").alias("ticker")).agg(
         F.sum(F.col("_x") * F.col("_f")).alias("_r"))
     return out.select(*keys, "date", "ticker", F.nullif(F.try_divide("_r", n_variants.cast("double")), F.lit(0.0)).alias("raw")
                       ).where(F.col("raw").isNotNull())
 
 
 def winsorize_xsec(panel: DataFrame, value: str = "raw", out: str = "clipped", total: float = 0.02,
-                   keys: Sequence[str] = (), max_group: int | None = None) -> DataFrame:
+                   keys: Sequence[str] = ()) -> DataFrame:
     """Clip to the total/2 and 1 - total/2 quantiles of each date; 0 is no signal."""
     by = [*keys, "date"]
     d = panel.withColumn("_v", F.nullif(F.col(value), F.lit(0.0)))
-    q = group_quantiles(d, by, "_v", [total / 2, 1 - total / 2], ["_lo", "_hi"], max_group=max_group)
+    q = group_quantiles(d, by, "_v", [total / 2, 1 - total / 2], ["_lo", "_hi"])
     return (d.join(small_by_date(q, keys), by, "left")
             .withColumn(out, F.when(F.col("_v").isNotNull(), F.greatest("_lo", F.least("_hi", "_v"))))
             .drop("_v", "_lo", "_hi"))
@@ -81,12 +73,9 @@ def zscore_xsec(panel: DataFrame, value: str = "clipped", out: str = "z", keys:
             .withColumn(out, z if fill is None else F.coalesce(z, F.lit(fill))).drop("_m", "_s"))
 
 
-def standardise(raw: DataFrame, total: float = 0.02, keys: Sequence[str] = (), max_group: int | None = None) -> DataFrame:
-    """Winsorized z-score of a raw signal. Reads ``raw`` three times, so give it a written table.
-
-    ``max_group``: a counted upper bound of the names per date, if there is one.
-    """
-    return zscore_xsec(winsorize_xsec(raw, total=total, keys=keys, max_group=max_group), keys=keys)
+def standardise(raw: DataFrame, total: float = 0.02, keys: Sequence[str] = ()) -> DataFrame:
+    """Winsorized z-score of a raw signal. Reads ``raw`` several times, so give it a written table."""
+    return zscore_xsec(winsorize_xsec(raw, total=total, keys=keys), keys=keys)
 
 
 def smooth(panel: DataFrame, value: str = "z", n: int = 21, out: str = "z_smooth", keys: Sequence[str] = ()) -> DataFrame:

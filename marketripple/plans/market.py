@@ -38,11 +38,11 @@ KINDS = ("concorrente", "cliente", "imob_logistica", "fornecedor", "holding", "s
 
 
 def ticker_of(key: Column) -> Column:
-    """Four base-26 letters of key div 2 plus a class suffix, so neighbours can share a root."""
-    half = F.floor(key / 2)
-    letters = [F.char((F.lit(65) + F.floor(half / 26**p) % 26).cast("int")) for p in (3, 2, 1, 0)]
+    """Base-26 letters of key div 2, four or as many as it takes, plus a class suffix, so neighbours can share a root."""
+    digits = F.translate(F.conv(F.floor(key / 2).cast("string"), 10, 26), "0123456789ABCDEFGHIJKLMNOP", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    letters = F.when(F.length(digits) < 4, F.lpad(digits, 4, "A")).otherwise(digits)
     suffix = (F.when(key % 20 == 19, "34").when(key % 20 == 17, "11").when(key % 2 == 0, "3").otherwise("4"))
-    return F.concat(*letters, suffix)
+    return F.concat(letters, suffix)
 
 
 def bdi_of(key: Column) -> Column:
@@ -98,11 +98,6 @@ class Market:
         seen = self.records.select("k", "bdi").distinct().select(ticker_of(F.col("k")).alias("ticker"), "bdi")
         return universe.classify_instrument(universe.codes_ever_seen(seen))
 
-    @cached_property
-    def n_names(self) -> int:
-        """Number of names: an upper bound of any cross-section."""
-        return self.table("supplier").count()
-
     @cached_property
     def index(self) -> DataFrame:
         """Index return per date; dates without one are absent."""
@@ -189,7 +184,7 @@ class Market:
     def signal(self) -> DataFrame:
         """Dense (date, idx, ticker) signal over every name the graph ever targets; 0 is no signal."""
         dst = self.graph.select(F.col("dst").alias("ticker")).distinct()
-        z = signal.standardise(self.raw_signal, max_group=self.n_names).select("date", "ticker", "raw", "z")
+        z = signal.standardise(self.raw_signal).select("date", "ticker", "raw", "z")
         grid = self.panel.join(dst, "ticker", "left_semi").select("date", "idx", "ticker")
         return materialise(grid.join(z, ["date", "ticker"], "left").withColumn("z", F.coalesce("z", F.lit(0.0))), "signal")
 
@@ -232,7 +227,7 @@ class Market:
         return self.book.select("date", "idx", "ticker", "r", "adtv")
 
     def ledger_of(self, weights: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-        return pnl.ledger(weights, self.names_panel, self.index, COST, keys, self.n_names)
+        return pnl.ledger(weights, self.names_panel, self.index, COST, keys)
 
     @cached_property
     def ledger(self) -> DataFrame:
@@ -275,7 +270,7 @@ class Market:
         """Each name's own accumulated shock, standardised over the signal's names."""
         names = self.signal.select("ticker").distinct()
         own = self.panel.join(names, "ticker", "left_semi").select("date", "idx", "ticker", F.col("acc").alias("raw"))
-        return signal.standardise(own, max_group=self.n_names).select("date", "idx", "ticker", F.nullif("raw", F.lit(0.0)).alias("raw"), "z")
+        return signal.standardise(own).select("date", "idx", "ticker", F.nullif("raw", F.lit(0.0)).alias("raw"), "z")
 
     @cached_property
     def ic1(self) -> DataFrame:

@@ -11,10 +11,13 @@ _LOCAL_SCRATCH: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder the cluster names in ``spark.checkpoint.dir``; a local one only where it is unset (tests)."""
+    """Shared folder the cluster names in ``spark.checkpoint.dir``; a local one only where it is unset and
+    the session runs in one process (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_SCRATCH:
         _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="spark-")

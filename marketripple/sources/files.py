@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,20 +51,28 @@ def parse_records(lines: DataFrame) -> DataFrame:
     return d.withColumn("price", F.when(price > 0, price))
 
 
+def bad_number(line: str | Column) -> Column:
+    """Whether a record's close, volume or factor is no number; ``parse_records`` reads it as 0."""
+    return reduce(Column.__or__, [~F.trim(field(line, n)).rlike("^[0-9]+$") for n in ("close", "volume", "factor")])
+
+
 def ingest_counters(lines: DataFrame, source: Column | None = None) -> DataFrame:
-    """Per source file: lines, wrong width, trade records and cash-market records."""
+    """Per source file: lines, wrong width, trade records, cash-market records and those with a malformed number."""
     src = F.col("file") if source is None else source
     ok = F.length("line") == WIDTH
     rec = ok & (field("line", "tipo") == RECORD)
     return lines.groupBy(src.alias("source")).agg(
         F.count(F.lit(1)).alias("n_lines"), F.count_if(~ok).alias("n_wrong_width"), F.count_if(rec).alias("n_records"),
-        F.count_if(rec & (field("line", "mercado") == CASH_MARKET)).alias("n_cash"))
+        F.count_if(rec & (field("line", "mercado") == CASH_MARKET)).alias("n_cash"),
+        F.count_if(rec & (field("line", "mercado") == CASH_MARKET) & bad_number("line")).alias("n_bad_number"))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    try:
+        spark.read.format("binaryFile").load(path).schema  # noqa: B018  resolves the path, reads nothing
+    except AnalysisException:
+        return False
+    return True
 
 
 def read_first(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -91,7 +101,7 @@ def read_riskfree(spark: SparkSession, path: str) -> DataFrame:
 def read_membership(spark: SparkSession, path: str) -> DataFrame:
     """Index members; the trailing total line is recognised by its content, not by its position."""
     raw = spark.read.csv(path, header=True, schema="codigo string, participacao string")
-    return raw.where(F.col("codigo").rlike("^[A-Z]{4}[0-9]+$")).select(F.col("codigo").alias("ticker"))
+    return raw.where(F.col("codigo").rlike("^[A-Z]{4,}[0-9]+$")).select(F.col("codigo").alias("ticker"))
 
 
 def cached_table(spark: SparkSession, label: str, params: Mapping[str, object], build: Callable[[], DataFrame],

@@ -17,9 +17,8 @@ SAMPLE = ["uni_06_universe_top_n", "uni_11_compare_monthly", "shk_01_market_shoc
 def test_registry_is_consistent():
     q, s = E.queries(), E.oracle_sql()
     assert len(q) > 180 and set(s) <= set(q)
-    without = set(q) - set(s)
-    assert without <= {"inf_08_effective_breadth", "inf_11_breadth_for_ir", "inf_14_factor_attribution", "inf_17_frozen_decision",
-                       "inf_21_evidence_bundle", "inf_23_attribution_with_industry"}
+    optional = {n for n in q if n == "pipeline" or n.startswith("op")}  # of the optional subpackage, tested on their own
+    assert set(q) - set(s) - optional <= {"inf_21_evidence_bundle"}
 
 
 def test_entry_has_rows(spark):

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from marketripple.functions.expr import kurt_agg, normal_cdf, skew_agg
 from marketripple.operators import breadth as BR
 from marketripple.operators import evidence as O
-from marketripple.operators.spectrum import spectral_sums
 from tests.helpers import day
 
 
@@ -65,58 +64,38 @@ def test_newey_west_mean(spark):
     assert g["rho1"] == pytest.approx(pd.Series(v).autocorr(1))
 
 
-def test_factor_attribution(spark):
-    rng = np.random.default_rng(3)
-    n = 150
-    f = rng.normal(0, .01, (n, 2))
-    y = 0.0005 + f @ [0.5, -0.2] + rng.normal(0, .005, n)
-    fac = spark.createDataFrame([(k, day(i), float(f[i, j])) for i in range(n) for j, k in enumerate("ab")], "factor string, date date, pnl double")
-    pnl = spark.createDataFrame([(day(i), float(y[i])) for i in range(n)], "date date, net double")
-    got = {r["term"]: r for r in O.factor_attribution(pnl, fac, ("a", "b"), 5, 252).collect()}
-    X = np.column_stack([np.ones(n), f])
-    b = np.linalg.lstsq(X, y, rcond=None)[0]
-    u = (y - X @ b)[:, None] * X
-    s = u.T @ u
-    for k in range(1, 6):
-        s = s + (1 - k / 6) * (u[k:].T @ u[:-k] + u[:-k].T @ u[k:])
-    inv = np.linalg.inv(X.T @ X)
-    se = np.sqrt(np.diag(inv @ s @ inv))
-    assert got["alpha_year"]["coef"] == pytest.approx(b[0] * 252) and got["a"]["t"] == pytest.approx(b[1] / se[1])
-
-
-def _signals(spark, p=9, t=25):
-    rng = np.random.default_rng(4)
-    base = rng.normal(size=(t, 3))
-    z = base @ rng.normal(size=(3, p)) + rng.normal(size=(t, p)) * .5
-    z[rng.random((t, p)) < .35] = 0.0
-    rows = [(day(i), f"N{j}", float(z[i, j])) for i in range(t) for j in range(p)]
-    return z, spark.createDataFrame(rows, "date date, ticker string, z double")
-
-
-def _expected(z):
-    import pandas as pd
-    c = pd.DataFrame(np.where(z == 0, np.nan, z)).corr().fillna(0).to_numpy().copy()
-    np.fill_diagonal(c, 1)
-    ev = np.linalg.eigvalsh(c)
-    assert ev.min() < 0, "the case must exercise the positive-part rule"
-    pos = ev[ev > 0]
-    return c, pos.sum() ** 2 / (pos ** 2).sum(), pos.max() / pos.sum()
-
-
-def test_breadth_small_and_blocked(spark):
-    z, df = _signals(spark)
-    c, n_eff, pc1 = _expected(z)
-    for block in (256, 4):
-        g = BR.effective_breadth(df, block=block).first()
-        assert (g["n_names"], g["n_eff"], g["pc1_share"]) == (9, pytest.approx(n_eff), pytest.approx(pc1))
-        assert BR.correlation_energy(df, block=block).first()["n_eff_energy"] == pytest.approx(81 / (c ** 2).sum())
-
-
-def test_breadth_without_gathering_the_matrix(spark):
-    z, df = _signals(spark)
-    _, n_eff, pc1 = _expected(z)
-    g = spectral_sums(BR.correlation_blocks(df, block=5)).first()
-    assert g["n_names"] == 9 and g["n_eff"] == pytest.approx(n_eff, rel=1e-6) and g["pc1_share"] == pytest.approx(pc1, rel=1e-6)
+def test_factor_attribution_by_hand(spark):
+    """y = 2 + 3 f on f = -1, 0, 1, 0 with residuals 1, -1, 1, -1: the fit keeps (2, 3); errors by hand."""
+    f, e = [-1.0, 0.0, 1.0, 0.0], [1.0, -1.0, 1.0, -1.0]
+    fac = spark.createDataFrame([(k, day(i), v) for i, x in enumerate(f) for k, v in (("a", x), ("none", 0.0))], "factor string, date date, pnl double")
+    pnl = spark.createDataFrame([(day(i), 2 + 3 * f[i] + e[i]) for i in range(4)], "date date, net double")
+    got = {r["term"]: r for r in O.factor_attribution(pnl, fac, ("a", "none"), 1, 10).collect()}
+    assert got["alpha_year"]["coef"] == pytest.approx(20) and got["a"]["coef"] == pytest.approx(3)
+    # score of the intercept: e / 4 = 1/4, -1/4, 1/4, -1/4: sum of squares 4/16, lag one -3/16, weight 1 - 1/2, twice
+    assert got["alpha_year"]["t"] == pytest.approx(2 / math.sqrt(4 / 16 - 3 / 16))
+    # score of the slope: f e / 2 = -1/2, 0, 1/2, 0: squares 1/2, no lag
+    assert got["a"]["t"] == pytest.approx(3 / math.sqrt(0.5))
+    # a factor that never trades takes no part
+    assert got["none"]["coef"] == 0 and got["none"]["t"] is None and all(r["n"] == 4 for r in got.values())
+
+
+def test_breadth_of_known_cases(spark):
+    """k identical names are one bet, k orthogonal ones are k; a constant name counts for nothing."""
+    waves = {"A": [1, -1, 1, -1], "B": [1, 1, -1, -1], "C": [1, -1, -1, 1]}
+    rows = lambda names: [(day(i), t, float(v)) for t, w in names.items() for i, v in enumerate(w)]
+    schema = "date date, ticker string, z double"
+    got = lambda names: BR.effective_breadth(spark.createDataFrame(rows(names), schema)).first()
+    g = got(waves | {"flat": [5, 5, 5, 5]})
+    assert g["n_names"] == 3 and g["n_eff"] == pytest.approx(3) and g["ratio"] == pytest.approx(1)
+    assert got({"A": waves["A"], "A2": [10 * v for v in waves["A"]], "A3": [-v for v in waves["A"]]})["n_eff"] == pytest.approx(1)
+    # two names with correlation 1/2: 4 / (2 + 2/4)
+    assert got({"A": [1, -1, 0, 0, 1, -1, 0, 0], "B": [1, -1, 0, 0, 0, 0, 1, -1]})["n_eff"] == pytest.approx(4 / 2.5)
+
+
+def test_lag_rule_beyond_the_lags_is_an_error(spark):
+    ic = spark.range(200).selectExpr("date_add(date'2000-01-01', cast(id as int)) as date", "cast(id % 7 as double) as ic")
+    with pytest.raises(Exception, match="auto_cap"):
+        O.newey_west_mean(ic, 2, auto_cap=3).collect()
 
 
 def test_placebo_keeps_structure(spark):
@@ -129,6 +108,8 @@ def test_placebo_keeps_structure(spark):
     out = O.placebo_graphs(g, sub, 6, seed=7).toPandas()
     assert (out["src"] != out["dst"]).all() and set(out["draw"]) == set(range(6))
     assert (out[out["dst"] == "X"]["src"] == "N0").all()  # targets without a subsector keep their trigger
+    marked = O.placebo_graphs(g, sub.withColumn("subsector", F.lit("A DEFINIR")), 3).toPandas()
+    assert set(marked["src"]) == {"N0", "N1"}  # the unknown class is no block to draw from
     inside = out[out["dst"] != "X"]
     assert (inside.groupby("draw")["src"].nunique() == 2).all() and inside["src"].nunique() > 2
     again = O.placebo_graphs(g, sub, 6, seed=7).toPandas()

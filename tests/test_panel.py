@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from marketripple.functions.quantiles import group_quantiles
@@ -101,7 +102,7 @@ def test_quantiles_exact_in_every_mode(spark):
     df = spark.createDataFrame(rows, "k int, v double").repartition(4)
     probs = [0.0, 0.01, 0.37, 0.5, 0.99, 1.0]
     names = [f"q{i}" for i in range(len(probs))]
-    for kw in ({"accuracy": 50}, {"accuracy": 10_000}, {"max_group": 5000}):
+    for kw in ({"accuracy": 50}, {"accuracy": 10_000}):
         got = {r["k"]: [r[n] for n in names] for r in group_quantiles(df, ["k"], "v", probs, names, **kw).collect()}
         for k, v in vals.items():
             np.testing.assert_allclose(got[k], np.quantile(v, probs), atol=1e-12, err_msg=str((kw, k)))
@@ -129,3 +130,44 @@ def test_no_look_ahead(spark):
     a = calc(df).where(F.col("idx") <= cut).orderBy("ticker", "idx").toPandas()
     b = calc(df.where(F.col("idx") <= cut)).orderBy("ticker", "idx").toPandas()
     pd.testing.assert_frame_equal(a, b)
+
+
+def test_densify_rejects_duplicates(spark):
+    p = spark.createDataFrame([(day(i), "A", 1.0) for i in (0, 1, 1, 2)], "date date, ticker string, volume double")
+    with pytest.raises(Exception, match="two rows of one date for A"):
+        O.densify(p, O.trading_calendar(p), {"volume": 0.0}).collect()
+
+
+def test_large_early_values_leave_small_windows_exact(spark):
+    """A window of zeros after a large value is exactly zero, so that 0 stays "no signal"."""
+    v = [1e9, -3.0, 7e8] + [0.0] * 6
+    p = spark.createDataFrame([(day(i), i, "A", x) for i, x in enumerate(v)], "date date, idx int, ticker string, eps double")
+    got = [r["acc"] for r in S.accumulate_shock(p, 3, 0, 1).orderBy("idx").collect()]
+    assert got[5:] == [0.0] * 4
+
+
+def test_peer_groups_skip_unknown_classes_and_unpriced_names(spark):
+    m = spark.createDataFrame([(f"N{i}", "S", "A DEFINIR" if i < 7 else "X") for i in range(12)], "ticker string, sector string, subsector string")
+    got = lambda df: {r["ticker"]: r["peer_group"] for r in df.collect()}
+    g = got(S.peer_group_choice(m, 4))
+    assert all(g[f"N{i}"] == "sec:S" for i in range(7)) and all(g[f"N{i}"] == "sub:X" for i in range(7, 12))
+    priced = m.where("ticker <> 'N8'").select("ticker")
+    assert set(got(S.peer_group_choice(m, 4, priced)).values()) == {"sec:S"}
+
+
+def test_names_are_one_to_one(spark):
+    from marketripple.plans.market import ticker_of
+    keys = spark.range(3_000_000).unionByName(spark.range(10**12, 10**12 + 1000))
+    r = keys.select(ticker_of(F.col("id")).alias("t")).agg(F.count_distinct("t").alias("n"), F.count("t").alias("all"), F.min(F.length("t"))).first()
+    assert r[0] == r[1] == 3_001_000 and r[2] == 5
+
+
+def test_salted_join_is_a_join(spark):
+    from marketripple.functions import expr
+    large = spark.range(5000).selectExpr("if(id < 4000, 'hub', concat('k', id % 7)) as src", "id as dst")
+    small = spark.createDataFrame([("hub", 1), ("k1", 2), ("k1", 3), ("none", 4)], "src string, x int")
+    parts = {r["src"]: r["_salts"] for r in expr.salt_counts(large, ["src"], 1000).collect()}
+    assert parts["hub"] == 4 and parts["k1"] == 1
+    got = expr.salted_join(small, large, ["src"], "dst")
+    want = small.join(large, "src")
+    assert got.count() == want.count() and got.exceptAll(want.select(*got.columns)).isEmpty()
