@@ -11,7 +11,7 @@ from marketripple.catalog.q_graph import MIN_PAIRS, PRIOR, PRIOR_SQL, _dir
 from marketripple.catalog.q_metrics import PM
 from marketripple.catalog.q_returns import N2, _with_class
 from marketripple.catalog.q_signal import FW
-from marketripple.catalog.registry import cte, query
+from marketripple.catalog.registry import body, cte, query
 from marketripple.operators import breadth as BR
 from marketripple.operators import evidence as O
 from marketripple.operators import graph as G
@@ -23,7 +23,7 @@ from marketripple.operators import signal as SG
 from marketripple.plans import market as P
 from marketripple.plans import variants as VR
 from marketripple.session import materialise
-from marketripple.plans.summary import evidence_bundle, placebo_test
+from marketripple.plans.summary import bundle_rows, evidence_bundle, placebo_test
 
 Y = P.YEAR
 H = 4
@@ -183,10 +183,11 @@ z as (select c.draw, c.date, c.ticker, coalesce((v - mu) / case when sd = 0 then
 g as (select d.draw, p.date, p.ticker, coalesce(z.z, 0) as z from (select distinct draw, dst from t_pl_graph) d join t_panel p on p.ticker = d.dst
   left join z on z.draw = d.draw and z.date = p.date and z.ticker = p.ticker)
 select g.draw, g.date, {B.corr_sql('g.z', 'f.y')} as ic from g join t_fwdh f on f.h = {H} and f.date = g.date and f.ticker = g.ticker group by 1, 2""")
-query("inf_12_placebo_graphs", lambda m: O.placebo_graphs(m.graph, m.names, DRAWS).groupBy("draw", "valid_month", "variant", "src").agg(
-    F.count("dst").alias("n_edges"), F.sum(F.col("strength") * F.col("direction")).alias("strength")),
-      """select draw, valid_month, variant, src, count(*) as n_edges, sum(strength * direction) as strength from t_pl_graph
-      group by 1, 2, 3, 4""", d="strength")
+query("inf_12_placebo_graphs", lambda m: O.placebo_graphs(m.graph, m.names, DRAWS).groupBy("draw", "valid_month", "variant").agg(
+    F.count("dst").alias("n_edges"), F.sum(F.col("strength") * F.col("direction")).alias("strength"), F.count_distinct("src").alias("n_triggers"),
+    F.min("src").alias("first_src"), F.max("src").alias("last_src")),
+      """select draw, valid_month, variant, count(*) as n_edges, sum(strength * direction) as strength, count(distinct src) as n_triggers, min(src) as first_src,
+      max(src) as last_src from t_pl_graph group by 1, 2, 3""", d="strength")
 query("inf_12_trigger_placebo", lambda m: placebo_test(m, DRAWS, H), f"""
 with f as (select period, draw, avg(ic) as ic from t_pl_ic join {B.periods_sql()} on date between lo and hi where ic is not null group by 1, 2)
 select f.period, any_value(r.ic) as ic_real, avg(f.ic) as placebo_mean, stddev_pop(f.ic) as placebo_sd,
@@ -362,7 +363,31 @@ select *, case when d_sharpe > 0.05 and d_breadth > 1 then 'adopt' when d_sharpe
       d="sharpe_base breadth_base sharpe_winner breadth_winner d_sharpe d_breadth")
 
 # ---- bundle, resampling, documented cuts -------------------------------------------------------------------
-query("inf_21_evidence_bundle", lambda m: evidence_bundle(m))
+_dsr = "sharpe n_configs sharpe_threshold dsr skew kurtosis"
+PARTS = {
+    "active": ("first_session_day n_sessions", """select date_diff('day', date '1970-01-01', min(date)) as first_session_day, count(*) as n_sessions
+ from (select date from t_w where ticker <> 'IBOV_SYNTHETIC' and abs(w) > 1e-9 group by date)"""),
+    "sharpe": ("flat layered", f"""select avg(net_flat) / nullif(stddev_samp(net_flat), 0) * sqrt({Y}) as flat, avg(net) / nullif(stddev_samp(net), 0) * sqrt({Y}) as layered from t_pnl"""),
+    "unit_alpha": ("alpha_bps cost_bps", body("met_21_unit_alpha")),
+    "cost": ("spread impact borrow hedge cost turnover bps_per_turnover", body("cst_07_cost_summary")),
+    "persistence": ("sharpe_signal sharpe_persistence corr beta alpha_year t_alpha", body("inf_13_persistence_control")),
+    "walk_forward": ("n total_return vol sharpe sortino max_drawdown annual_return calmar", f"""
+with c as (select date, net, product(1 + net) over (order by date) as curve from t_wf),
+d as (select *, curve / max(curve) over (order by date) - 1 as dd from c),
+g as (select count(net) as n, product(1 + net) - 1 as total_return, stddev_samp(net) * sqrt({Y}) as vol, avg(net) / nullif(stddev_samp(net), 0) * sqrt({Y}) as sharpe,
+ avg(net) / nullif(stddev_samp(case when net < 0 then net end), 0) * sqrt({Y}) as sortino, min(dd) as max_drawdown from d),
+h as (select *, pow(1 + total_return, {Y}::double / n) - 1 as annual_return from g)
+select *, case when max_drawdown < 0 then annual_return / abs(max_drawdown) end as calmar from h"""),
+    "deflated_curve": (_dsr, body("inf_15_deflated_sharpe").replace("from t_series", "from (select 'wf' as series, net as r from t_wf)")),
+    "deflated": (_dsr, f"select * from ({body('inf_15_deflated_sharpe')}) where series = 'real'"),
+    "attribution": (" ".join(f"{t}_{c}" for t in ("alpha_year", *NAMES4) for c in ("coef", "t")),
+                    "select " + ", ".join(f"max(case when term = '{t}' then {c} end) as {t}_{c}" for t in ("alpha_year", *NAMES4) for c in ("coef", "t")) + " from t_attr4"),
+    "ic": ("ic t n", "select ic, t, n from t_ics where period = 'full'"),
+}
+for _p, (_f, _sql) in PARTS.items():
+    cte(f"t_part_{_p}", _sql)
+query("inf_21_evidence_bundle", lambda m: bundle_rows(evidence_bundle(m)), " union all ".join(
+    f"select '{p}' as part, '{f}' as field, cast({f} as double) as value from t_part_{p}" for p, (fs, _) in PARTS.items() for f in fs.split()), d="value")
 BOOT = 1000
 cte("t_boot", f"""
 with p as (select row_number() over (order by date) - 1 as pos, net as r, count(*) over () as n from t_pnl),

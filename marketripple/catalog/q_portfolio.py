@@ -112,6 +112,18 @@ with c as (select *, greatest(-0.05, least(0.05, w)) as cw, coalesce(adtv, 0) *
 o as (select *, cw - coalesce(lag(cw) over (partition by ticker order by idx), 0) as ord from c)
 select date, ticker, ord as "order", greatest(-room, least(room, ord)) as order_capped, abs(ord) > room + 1e-12 as over from o""",
       d='"order" order_capped')
+query("pf_21_validate_final", lambda m: O.validate_final(m.weights, m.book, K), f"""
+with l as (select date, ticker, sector, lag(adtv) over (partition by ticker order by idx) as a from t_b),
+w as (select date, ticker, coalesce(w, 0) as w, abs(coalesce(w, 0) - coalesce(lag(coalesce(w, 0)) over (partition by ticker order by idx), 0)) as dw
+ from t_w where ticker <> 'IBOV_SYNTHETIC'),
+d as (select w.date, w.ticker, sector, w, dw, a * 0.10 / {P.AUM}::double as lim, a * 0.02 / {P.AUM}::double as room from w left join l on l.date = w.date and l.ticker = w.ticker),
+s as (select date, sector, sum(abs(w)) as g, abs(sum(w)) as n from d group by 1, 2), t as (select date, abs(sum(w)) as n from d group by 1)
+select 'name' as "limit", max(abs(w)) as worst, count(*) filter (abs(w) - 0.05 > 1e-6) as n_violations from d union all
+select 'liquidity', max(abs(w) - lim), count(*) filter (abs(w) - lim > 1e-6) from d union all
+select 'order', max(dw - room), count(*) filter (dw - room > 1e-6) from d union all
+select 'sector', max(g), count(*) filter (g - 0.25 > 1e-6) from s union all
+select 'sector_net', max(n), count(*) filter (n - 0.05 > 1e-6) from s union all
+select 'net', max(n), count(*) filter (n - 0.10 > 1e-6) from t""", d="worst")
 query("pf_22_no_trade_band", lambda m: O.no_trade_band(m.weights, 0.01).select("date", "ticker", "target", "held"), """
 with recursive s as (select ticker, idx, date, w, coalesce(w, 0) as t from t_w),
 f(ticker, idx, held) as (select ticker, 0::integer, case when abs(t) < 0.01 then 0 else t end from s where idx = 0

@@ -54,7 +54,7 @@ query("sig_08_own_persistence_signal", lambda m: m.own_signal.where(F.col("raw")
       "select date, ticker, z from t_own_z", d="z")
 query("sig_09_active_names_per_day", lambda m: O.active_names_per_day(m.signal),
       "select date, count(*) filter (abs(z) > 1e-9) as n_active from t_sig group by date")
-FW = dict(short=4, mom=(40, 4), rev=2, vol=6)
+FW = P.FACTOR_WINDOWS
 cte("t_scores", f"""
 with c as (select date, idx, ticker, r,
  case when count(r) over w4 >= 4 then avg(r) over w4 end as mom21, case when count(r) over w40 >= 40 then sum(r) over w40 end as mom12_1,

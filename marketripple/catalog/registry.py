@@ -15,6 +15,7 @@ DIGITS = 6
 _QUERIES: dict[str, Callable[[Market], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 _CTES: dict[str, str] = {}
+_BODIES: dict[str, str] = {}
 
 
 def cte(name: str, sql: str) -> None:
@@ -26,9 +27,15 @@ def query(name: str, fn: Callable[[Market], DataFrame], sql: str | None = None,
     assert name not in _QUERIES, name
     _QUERIES[name] = fn
     if sql is not None:
+        _BODIES[name] = sql.strip()
         _SQL[name] = _assemble(sql.strip(), d.split())
 
 
+def body(name: str) -> str:
+    """The SQL of a registered query without its common tables, to read its rows in another query."""
+    return _BODIES[name]
+
+
 def _needs(sql: str) -> set[str]:
     return {w for w in re.findall(r"\b[a-z_][a-z0-9_]*\b", sql) if w in _CTES}
 

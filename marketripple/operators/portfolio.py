@@ -340,6 +340,31 @@ def order_participation_cap(book: DataFrame, share: float, p: BookParams = BookP
         "over", F.abs("order") > room + 1e-12)
 
 
+def validate_final(weights: DataFrame, book: DataFrame, p: BookParams = BookParams(), net_limit: float = 0.10, sector_net_limit: float = 0.05,
+                   order_share: float = 0.02, keys: Sequence[str] = (), tol: float = 1e-6) -> DataFrame:
+    """One report on final weights: (limit, worst, n_violations) for name, liquidity, sector, sector_net, net and order.
+
+    ``worst`` is the largest exposure, and the largest excess over their own limits for liquidity and order. Both read the
+    liquidity of the decision day (one row back); a row without one has no such limit. NULL weights are 0, the hedge is left out.
+    """
+    prev = F.lag("adtv").over(series_window(keys, "ticker"))
+    info = book.select(*keys, "date", "ticker", "sector", (prev * p.adtv_share / p.aum_col).alias("lim"), (prev * order_share / p.aum_col).alias("room"))
+    d = weights.where(F.col("ticker") != HEDGE_TICKER).withColumn("w", F.coalesce("w", F.lit(0.0)))
+    d = d.withColumn("dw", F.abs(F.col("w") - F.coalesce(F.lag("w").over(series_window(keys, "ticker")), F.lit(0.0)))).join(info, [*keys, "date", "ticker"], "left")
+    aw = F.abs("w")
+    by_sector = d.groupBy(*keys, "date", "sector").agg(
+        F.sum(aw).alias("gross"), F.sum("w").alias("net"), F.max(aw).alias("name"), F.max(aw - F.col("lim")).alias("liq"), F.max(F.col("dw") - F.col("room")).alias("ord"),
+        F.count_if(aw - p.max_name > tol).alias("n_name"), F.count_if(aw - F.col("lim") > tol).alias("n_liq"), F.count_if(F.col("dw") - F.col("room") > tol).alias("n_ord"))
+    by_date = by_sector.groupBy(*keys, "date").agg(
+        F.max("name").alias("name"), F.max("liq").alias("liq"), F.max("ord").alias("ord"), F.sum("n_name").alias("n_name"), F.sum("n_liq").alias("n_liq"),
+        F.sum("n_ord").alias("n_ord"), F.max("gross").alias("sector"), F.count_if(F.col("gross") - p.max_sector > tol).alias("n_sector"),
+        F.max(F.abs("net")).alias("sector_net"), F.count_if(F.abs("net") - sector_net_limit > tol).alias("n_sector_net"), F.abs(F.sum("net")).alias("net"))
+    rows = [("name", "name", F.sum("n_name")), ("liquidity", "liq", F.sum("n_liq")), ("order", "ord", F.sum("n_ord")), ("sector", "sector", F.sum("n_sector")),
+            ("sector_net", "sector_net", F.sum("n_sector_net")), ("net", "net", F.count_if(F.col("net") - net_limit > tol))]
+    one = by_date.groupBy(*keys).agg(*[F.struct(F.lit(n).alias("limit"), F.max(c).alias("worst"), k.alias("n_violations")).alias(n) for n, c, k in rows])
+    return one.select(*keys, F.explode(F.array(*[n for n, _, _ in rows])).alias("x")).select(*keys, "x.*")
+
+
 def no_trade_band(weights: DataFrame, band: float, keys: Sequence[str] = ()) -> DataFrame:
     """Keep the held weight while |target - held| < band (path-dependent).
 

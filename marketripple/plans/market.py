@@ -29,6 +29,7 @@ AUM = 300_000.0
 BANDS = (115_000.0, 85_000.0, 60_000.0)
 PERIODS = panel.is_oos_full(CUT)
 
+FACTOR_WINDOWS = dict(short=4, mom=(40, 4), rev=2, vol=6)
 GRID = (4, 8, 12, 24)
 AUMS = (60_000.0, 300_000.0, 900_000.0)
 BOOK = portfolio.BookParams(aum=AUM, vol_window=VOL, smoothing=SMOOTH, guard_window=GUARD, guard_min=GUARD_MIN, periods=YEAR)

@@ -18,7 +18,7 @@ def test_registry_is_consistent():
     q, s = E.queries(), E.oracle_sql()
     assert len(q) > 180 and set(s) <= set(q)
     optional = {n for n in q if n == "pipeline" or n.startswith("op")}  # of the optional subpackage, tested on their own
-    assert set(q) - set(s) - optional <= {"inf_21_evidence_bundle"}
+    assert not set(q) - set(s) - optional
 
 
 def test_entry_has_rows(spark):
