@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketripple.functions.expr import (
-    compound_agg, corr_agg, known_class, kurt_agg, mean_t, normal_cdf, series_window, sharpe_agg, skew_agg, slope_agg,
+    NO_VARIANCE, compound_agg, corr_agg, known_class, kurt_agg, mean_t, normal_cdf, series_window, sharpe_agg, skew_agg, slope_agg,
 )
+from marketripple.session import materialise
 
 EULER = 0.5772156649
 
@@ -58,19 +59,29 @@ def ic_by_horizon(signal: DataFrame, panel: DataFrame, horizons: Sequence[int] =
 
 
 def clustered_t_by_kind(pairs: DataFrame, min_pairs: int = 100, threshold: float = 2.0) -> DataFrame:
-    """Pooled y ~ 1 + x per kind with errors clustered by date: two passes of plain aggregates.
+    """Pooled y ~ 1 + x per kind with errors clustered by date.
 
-    ``pairs`` is (kind, src, dst, date, x, y). The first pass fits the line, the second sums scores per date.
+    ``pairs`` is (kind, src, dst, date, x, y). It is read twice: for the edges with enough pairs, and for the sums of
+    their products by (kind, date), which give the line and each date's score.
     """
-    k = pairs.groupBy("kind", "src", "dst").agg(F.count("x").alias("_k")).where(F.col("_k") >= min_pairs)
+    k = materialise(pairs.groupBy("kind", "src", "dst").agg(F.count("x").alias("_k")).where(F.col("_k") >= min_pairs), "edge_counts")
     d = pairs.join(k.select("kind", "src", "dst"), ["kind", "src", "dst"], "left_semi")
-    fit = d.groupBy("kind").agg(
-        F.avg("x").alias("mx"), F.avg("y").alias("my"), slope_agg("x", "y").alias("b"), corr_agg("x", "y").alias("corr"),
-        F.count("x").alias("n"), (F.var_pop("x") * F.count("x")).alias("sxx"), F.count_distinct("src", "dst").alias("n_edges"))
-    # with x centred at its mean the slope's bread is 1/Sxx and its score is (x - mx) u
-    u = F.col("y") - F.col("my") - F.col("b") * (F.col("x") - F.col("mx"))
-    per = d.join(F.broadcast(fit.select("kind", "mx", "my", "b")), "kind")  # one row per edge kind
-    s = per.groupBy("kind", "date").agg(F.sum((F.col("x") - F.col("mx")) * u).alias("s"))
+    x, y = F.col("x"), F.col("y")
+    sums = {"n": F.count(x), "sx": F.sum(x), "sy": F.sum(y), "sxx": F.sum(x * x), "sxy": F.sum(x * y), "syy": F.sum(y * y)}
+    day = materialise(d.groupBy("kind", "date").agg(*[v.alias(c) for c, v in sums.items()]), "kind_dates")
+    tot = day.groupBy("kind").agg(*[F.sum(c).alias(c) for c in sums])
+    n, mx, my = F.col("n").cast("double"), F.col("sx") / F.col("n"), F.col("sy") / F.col("n")
+    vx, vy, cxy = F.col("sxx") / n - mx * mx, F.col("syy") / n - my * my, F.col("sxy") / n - mx * my
+    flat = NO_VARIANCE * NO_VARIANCE
+    fit = tot.select("kind", "n", mx.alias("mx"), my.alias("my"), F.when(vx > flat, cxy / vx).alias("b"),
+                     F.when((vx > flat) & (vy > flat), cxy / F.sqrt(vx * vy)).alias("corr"), (vx * n).alias("sxx"))
+    fit = fit.join(k.groupBy("kind").agg(F.count(F.lit(1)).alias("n_edges")), "kind")
+    # with x centred at its mean the slope's bread is 1/Sxx and a date's score the sum of (x - mx)(y - my - b (x - mx))
+    m = day.join(fit.select("kind", "mx", "my", "b"), "kind")
+    nd, mx, my = F.col("n"), F.col("mx"), F.col("my")
+    xy = F.col("sxy") - mx * F.col("sy") - my * F.col("sx") + nd * mx * my
+    xx = F.col("sxx") - 2 * mx * F.col("sx") + nd * mx * mx
+    s = m.select("kind", (xy - F.col("b") * xx).alias("s"))
     meat = s.groupBy("kind").agg(F.sum(F.col("s") * F.col("s")).alias("meat"), F.count("s").alias("n_dates"))
     r = fit.join(meat, "kind")
     n, g, c = F.col("n").cast("double"), F.col("n_dates").cast("double"), F.col("corr")

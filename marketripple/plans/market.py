@@ -147,10 +147,10 @@ class Market:
         e = (n.withColumn("nxt", nxt_in).join(nxt_blk, ["subsector", "blk"])
              .withColumn("nxt", F.coalesce("nxt", "next_first")).where(F.col("nxt").isNotNull()))
         kind = F.element_at(F.array(*[F.lit(x) for x in KINDS]), (k % 6 + 1).cast("int"))
-        return e.select(
+        return materialise(e.select(
             F.col("ticker").alias("src"), ticker_of(F.col("nxt")).alias("dst"), kind.alias("kind"),
             (0.5 + (k % 5).cast("double") / 10.0).alias("strength"),
-            F.when(k % 6 == 5, -1).otherwise(1).alias("direction"))
+            F.when(k % 6 == 5, -1).otherwise(1).alias("direction")), "edges")
 
     # ---- contract tables ------------------------------------------------------------------------------
 

@@ -28,10 +28,11 @@ def materialise(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     """Cut the lineage by writing a Parquet table to the shared folder and reading it back.
 
     Survives executor loss (the table is durable) and keeps column pruning and file statistics,
-    which an in-memory row checkpoint would lose.
+    which an in-memory row checkpoint would lose. All tables of an application lie in one folder named after it, so
+    they can be removed with it.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
