@@ -61,8 +61,7 @@ def _source() -> Column:
 query("src_01_discover_files", lambda m: _landed(m).select(_source().alias("source")).groupBy("source").agg(F.count(F.lit(1)).alias("n_lines")),
       "select source, count(*) as n_lines from t_line group by 1")
 query("src_02_fixed_width_decode", lambda m: O.parse_records(_landed(m)), "select * from t_parsed", d="close volume factor price")
-query("src_02_ingest_daily_tables", lambda m: U.traded_volume_daily(O.parse_records(_landed(m))).join(
-    U.codes_ever_seen(O.parse_records(_landed(m))).select("ticker", F.array_join("codes", ",").alias("codes")), "ticker"),
+query("src_02_ingest_daily_tables", lambda m: U.daily_tables(O.parse_records(_landed(m))).withColumn("codes", F.array_join("codes", ",")),
       """select p.date, p.ticker, sum(volume) as volume, any_value(codes) as codes from t_parsed p
       join (select ticker, array_to_string(list_sort(list(distinct bdi)), ',') as codes from t_parsed group by 1) c on c.ticker = p.ticker group by 1, 2""",
       d="volume")

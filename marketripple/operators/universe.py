@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketripple.operators.panel import densify, roll
+from marketripple.session import materialise
 
 # Receipt suffixes, fund and ETF market codes, class labels.
 BDR_SUFFIX = r"3[1-9]$"
@@ -20,6 +21,16 @@ def traded_volume_monthly(records: DataFrame) -> DataFrame:
         F.sum("volume").alias("volume_mes"))
 
 
+def daily_tables(records: DataFrame) -> DataFrame:
+    """(date, ticker, volume, codes) from one pass over raw records; ``codes`` are the BDI codes ever seen for the ticker.
+
+    Records collapse to one row per date and ticker first, written once, and the codes come from those rows.
+    """
+    day = materialise(records.groupBy("date", "ticker").agg(F.sum("volume").alias("volume"), F.collect_set("bdi").alias("_b")), "daily")
+    codes = codes_ever_seen(day.select("ticker", F.explode("_b").alias("bdi")))
+    return day.drop("_b").join(codes, "ticker")
+
+
 def traded_volume_daily(records: DataFrame) -> DataFrame:
     return records.groupBy("date", "ticker").agg(F.sum("volume").alias("volume"))
 
