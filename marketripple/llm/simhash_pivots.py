@@ -202,8 +202,9 @@ def near_duplicates(docs: DataFrame, most_bits: int = 3, id_column: str = "doc_i
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that have the smallest id of their component: one row per component, all columns.
 
-    Rows that repeat a kept id are dropped but one; rows without id stay, for nothing names them.
+    Rows that repeat a kept id are dropped but one; rows without id stay, for nothing names them. The join is a merge join
+    at every size, never a broadcast of the ids.
     """
     kept = materialise(near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct(), "kept_ids")
-    some = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    some = docs.where("doc_id is not null").join(kept.hint("merge"), F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
     return some.unionByName(docs.where("doc_id is null"))
