@@ -98,11 +98,14 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
 
 
 def copies(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: each document as often as the mix takes it (a document taken in part counts as whole), all columns."""
+    """The mixed corpus: each document as often as the mix takes it (a document taken in part counts as whole), all columns.
+
+    The counts meet the documents in a merge join at every size, never as a broadcast.
+    """
     names = docs.columns
     n = mix(docs, **options).groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.when(F.col("size") > 0, F.col("size")))).alias("n"))
     n = materialise(n.where("n > 0").select(F.col("doc_id").alias("__id"), F.col("n").cast("int").alias("__n")), "mix_copies")
-    rows = docs.join(n, same(F.col("doc_id"), F.col("__id")))
+    rows = docs.join(n.hint("merge"), same(F.col("doc_id"), F.col("__id")))
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*names)
 
 
