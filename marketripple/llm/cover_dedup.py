@@ -100,7 +100,7 @@ def _spread(at: np.ndarray, n: int) -> np.ndarray:
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, shared anchors of the document) to its candidate windows."""
+    """(doc_id, text, shared anchors of the document) to its candidate windows, each once."""
     hasher = Hasher()
     for batch in batches:
         for part in slices(batch, "text"):
@@ -111,6 +111,9 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at, values = anchors(hasher, h)
                 pos = np.flatnonzero(_spread(at[np.isin(values, np.array(shared, np.int64).view(np.uint64))], len(h) - WINDOW + 1))
                 one, two = (hasher.windows(h, WINDOW, f)[pos] for f in FACTORS)
+                order = np.lexsort((pos, two, one))  # a document's first window of each kind stands for the others
+                order = order[np.concatenate(([True], (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)))]
+                one, two, pos = one[order], two[order], pos[order]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                     part.column(0).take(pa.array(np.full(len(pos), i))), pa.array(pos.astype(np.int32))], names=["h1", "h2", "doc_id", "pos"])
@@ -152,12 +155,15 @@ def _later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([b.column(2).take(pa.array(later)), b.column(3).take(pa.array(later))], names=["doc_id", "pos"])
 
 
-def kept_words(words: list[bytes], starts: list[int] | None) -> tuple[list[bytes], int]:
-    """The words that no window at ``starts`` covers, and how many it covers."""
+def kept_words(words: list[bytes], starts: list[int] | None, hasher: Hasher) -> tuple[list[bytes], int]:
+    """The words that no window equal to one at ``starts`` covers, and how many such windows cover."""
     if not starts:
         return words, 0
     d = np.zeros(len(words) + 1, np.int64)
-    s = np.array(starts)
+    h = hasher.words(words)
+    one, two = (hasher.windows(h, WINDOW, f) for f in FACTORS)
+    kind = one ^ (two << np.uint64(1))
+    s = np.flatnonzero(np.isin(kind, kind[np.array([x for x in starts if x < len(kind)], np.int64)]))
     np.add.at(d, s, 1)
     np.add.at(d, np.minimum(len(words), s + WINDOW), -1)
     gone = np.cumsum(d[:-1]) > 0
@@ -165,7 +171,7 @@ def kept_words(words: list[bytes], starts: list[int] | None) -> tuple[list[bytes
 
 
 def removals(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """(doc_id, starts): where a document's windows begin that also start in a document with a smaller id."""
+    """(doc_id, starts): where a document's windows begin first that also start in a document with a smaller id."""
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(_merged(_anchor_rows), f"anchor bigint, doc_id {kind}")
     shared = materialise(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", (F.col("n") > hot).alias("is_hot")), "anchors_shared")
@@ -193,12 +199,13 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     docs = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
         for batch in batches:
             for part in slices(batch):
                 n, gone, sha, kept = [], [], [], []
                 for text, starts in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                     words = (text or "").encode().split()
-                    left, removed = kept_words(words, starts)
+                    left, removed = kept_words(words, starts, hasher)
                     joined = b" ".join(left)
                     n.append(len(words)), gone.append(removed), sha.append(hashlib.sha256(joined).hexdigest()), kept.append(joined.decode())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())],
