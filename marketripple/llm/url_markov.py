@@ -108,7 +108,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], keep: Sequen
     """``keep``, host, path, rule, verdict (allow or block) and score, one row per row of ``pages``.
 
     NULL urls and urls without ``://`` have empty host and path, fit no rule and are scored as they are (an empty or NULL
-    url scores zero). Without labelled URLs of both classes every score is compared with zero, which allows ties.
+    url scores zero). Each distinct url counts once in the models and the threshold, however many rows have it. Without labelled URLs of both classes every score is compared with zero, which allows ties.
     """
     ruled = apply_rules(pages.select(*keep, F.col(url_column).alias("url")), rules)
     text = F.when(F.instr("url", "://") > 0, url_rest(F.col("url"))).otherwise(F.coalesce("url", F.lit("")))
