@@ -119,11 +119,13 @@ def held_out(id_column: str = "doc_id"):
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % FOLDS == HELD_OUT
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = SAMPLE_DOCS) -> GatedAttention:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = SAMPLE_DOCS,
+          per_document: int | None = SAMPLE_PASSAGES) -> GatedAttention:
     """Learns from at most ``per_label`` documents of each label outside the held-out fold, those whose ids have the smallest hash.
 
     An id with several labels has its smallest; labels without a document and NULL labels are not used. The sample's passages,
-    not its texts, come to the driver: at most 2 * per_label * SAMPLE_PASSAGES rows of 16 numbers.
+    not its texts, come to the driver: at most 2 * per_label * per_document rows of 16 numbers. A longer
+    document gives ``per_document`` evenly spaced passages, or all of them where that is None.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min(label).alias("y"))
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -134,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bags = [passages(t) for t in b.column(2).to_pylist()]
-            bags = [x[np.linspace(0, len(x) - 1, SAMPLE_PASSAGES).astype(int)] if len(x) > SAMPLE_PASSAGES else x for x in bags]
+            bags = [x[np.linspace(0, len(x) - 1, per_document).astype(int)] if per_document and len(x) > per_document else x for x in bags]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.ravel().tolist() for x in bags], pa.list_(pa.float32()))], names=["doc_id", "y", "x"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", F.col("y").cast("int").alias("y"), "text").mapInArrow(
