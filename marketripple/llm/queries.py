@@ -8,7 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marketripple.llm import byte_bpe, chunk_fingerprints, cover_dedup, lattice_neardup, quality_mil, secret_markov, simhash_pivots, source_mixing, token_counts, url_markov
+from marketripple.llm import (byte_bpe, chunk_fingerprints, columnar_topk, cover_dedup, lattice_neardup, periodic_runs, quality_mil, secret_markov, setm_phrases,
+                              simhash_pivots, source_mixing, token_counts, url_markov)
 from marketripple.llm.common import table
 from marketripple.session import scratch_dir
 
@@ -83,3 +84,24 @@ def op10_lattice_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents", "doc_id", "text")).drop("runs", "collapsed")
+
+
+@query
+def op12_columnar_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return columnar_topk.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+SQL["op12_columnar_topk"] = columnar_topk.TOP_SQL
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setm_phrases.collocations(table(spark, sf_dir, "documents", "text", "lang"))
+
+
+SQL["op13_phrase_collocations"] = setm_phrases.COLLOCATION_SQL
