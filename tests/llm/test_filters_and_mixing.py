@@ -102,17 +102,78 @@ def test_held_out_fold_is_crc32(spark):
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in got)
 
 
-def test_attention_gradient_learns_one_bad_passage():
-    r = np.random.default_rng(0)
-    bags = [r.normal(size=(r.integers(1, 9), Q.N_FEATURES)).astype(np.float32) for _ in range(300)]
-    labels = []
-    for b in bags:
+def test_attention_learns_one_bad_passage():
+    r = random.Random(0)
+    texts, labels = [], []
+    for k in range(240):
+        words = X.prose(64 * r.randint(1, 6), k).split()
         bad = r.random() < 0.5
         if bad:
-            b[r.integers(0, len(b))] += 4
-        labels.append(int(not bad))
-    m = Q.GatedAttention().fit(bags[:200], labels[:200])
-    assert np.mean((m.score(bags[200:]) > 0.5) == np.array(labels[200:])) > 0.9
+            at = 64 * r.randrange(len(words) // 64)
+            words[at:at + 64] = [w[::-1] for w in words[at:at + 64]]  # the same letters in another order
+        texts.append(" ".join(words)), labels.append(int(not bad))
+    bags = [Q.Passages(t) for t in texts]
+    m = Q.GatedAttention().fit(bags[:180], labels[:180])
+    assert np.mean((m.score(bags[180:]) > 0.5) == np.array(labels[180:])) > 0.9
+
+
+def small_model():
+    m = Q.GatedAttention(hidden=5, gate=3, seed=2)
+    m.p["be"], m.p["bv"], m.p["bu"] = (m.random.normal(size=m.p[k].shape) for k in ("be", "bv", "bu"))
+    return m
+
+
+def plain_score(m, text):
+    """The score by loops over words and characters."""
+    p, words = m.p, (text or "").encode().split()
+    cuts = list(range(0, len(words), 64)) or [0]
+    if len(cuts) > 1 and len(words) - cuts[-1] < 16:
+        cuts.pop()
+    h = []
+    for a, b in zip(cuts, [*cuts[1:], len(words)]):
+        data, follow = b"".join(w + b" " for w in words[a:b]), b"".join(w + b" " for w in words[b:b + 2])[:2]
+        data += (follow + b"  ")[:2]
+        grams = [int(Q._bucket(np.array([data[i] | data[i + 1] << 8 | data[i + 2] << 16], np.uint64))[0]) for i in range(len(data) - 2)]
+        marks = [int(Q._bucket(np.array([sum((c + 1) * pow(0x100000001B3, min(i, 4095) + 1, 2 ** 64) for i, c in enumerate(w + b" ")) % 2 ** 64], np.uint64))[0]) for w in words[a:b]]
+        content = sum(p["E"][g] for g in grams) / max(1, len(grams)) + sum(p["E"][g] for g in marks) / max(1, len(marks)) if words else np.zeros(Q.EMBED)
+        form = (Q.Passages(" ".join(w.decode() for w in words[a:b])).form[0] - m.mean) / m.scale
+        h.append(np.tanh(np.concatenate((form, content)) @ p["We"] + p["be"]))
+    e = [math.exp(float((np.tanh(x @ p["V"] + p["bv"]) / (1 + np.exp(-(x @ p["U"] + p["bu"])))) @ p["a"])) for x in h]
+    z = sum(w * x for w, x in zip(e, h)) / sum(e)
+    return 1 / (1 + math.exp(-float(z @ p["c"] + p["d"][0])))
+
+
+def test_score_equals_brute_force(monkeypatch):
+    m, texts = small_model(), [X.prose(n, n) for n in (1, 63, 64, 79, 80, 200, 500)] + ["", None, "a", "naïve café \U0001f600", "x" * 5000]
+    want = [plain_score(m, t) for t in texts]
+    assert np.allclose(m.score([Q.Passages(t) for t in texts]), want, atol=1e-6)
+    monkeypatch.setattr(Q, "BLOCK", 50)
+    assert np.allclose([m.score([Q.Passages(t)])[0] for t in texts], want, atol=1e-6)
+
+
+def test_gradients_equal_differences():
+    m, bags, y = small_model(), [Q.Passages(X.prose(n, n)) for n in (40, 150, 300)], np.array([0, 1, 1])
+    loss = lambda: -sum(math.log(s if t else 1 - s) for s, t in zip(m.score(bags), y))
+    f = m._forward(*m._inputs(bags))
+    g = m._gradients(bags, f, f["y"] - y)
+    for name, p in m.p.items():
+        at = np.unravel_index(np.abs(g[name]).argmax(), p.shape)
+        old, step = p[at], 1e-5
+        p[at] = old + step
+        up = loss()
+        p[at] = old - step
+        down = loss()
+        p[at] = old
+        assert math.isclose((up - down) / (2 * step), g[name][at], rel_tol=1e-3), name
+
+
+def test_score_reads_content(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = Q.train(docs, labels)
+    text = X.prose(300, 5)
+    other = text.translate(str.maketrans("abcdefghijklmnopqrstuvwxyz", "qwertyuiopasdfghjklzxcvbnm"))
+    a, b = Q.Passages(text), Q.Passages(other)
+    assert np.allclose(a.form, b.form) and model.score([a])[0] != model.score([b])[0]
 
 
 def test_quality_awkward(spark):
@@ -122,7 +183,7 @@ def test_quality_awkward(spark):
     got = Q.score(docs.drop("score"), model, ["doc_id"]).collect()
     assert len(got) == len(X.awkward()) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
     assert Q.keep_good(docs, model).columns == docs.columns
-    assert Q.train(docs, labels.where("false")).score([Q.passages("a")])[0] == 0.5
+    assert Q.train(docs, labels.where("false")).score([Q.Passages("a")])[0] == 0.5
     assert Q.score(docs.where("false"), model, ["doc_id"]).count() == 0
 
 
