@@ -72,6 +72,7 @@ def tokenizer_version(path: str) -> str:
         return hashlib.sha256(tokenizers.__version__.encode() + b"\0" + f.read()).hexdigest()
 
 
+_CACHE = "digest string, n_tokens bigint, version string"
 _BUILT: dict[str, TokenCounter] = {}
 
 
@@ -87,34 +88,31 @@ def content_digest(text: Column) -> Column:
     return F.sha2(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")), 256)
 
 
-def cached(spark, cache: str, version: str) -> DataFrame | None:
-    """(digest, n_tokens) of the tokenizer version, or None where there is no cache yet."""
+def cached(spark, cache: str, version: str) -> DataFrame:
+    """(digest, n_tokens) of the tokenizer version; a cache that does not exist yet is an empty table."""
     try:
-        return spark.read.schema("digest string, n_tokens bigint, version string").parquet(cache).where(F.col("version") == version).select("digest", "n_tokens")
+        found = spark.read.schema(_CACHE).parquet(cache)
     except AnalysisException:
-        return None
+        found = spark.createDataFrame([], _CACHE)
+    return found.where(F.col("version") == version).select("digest", "n_tokens")
 
 
 def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = 2048, id_column: str = "doc_id", column: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit), one row per row of ``docs``; NULL texts count as empty.
+    """(doc_id, n_bytes, n_tokens, over_limit, cached), one row per row of ``docs``; NULL texts count as empty.
 
     ``cache`` is a folder that all executors share; it may be missing at first. Only narrow rows (id, digest) meet in the
-    look-up; of the texts, those of one row per missing digest are encoded. Ids may be NULL or repeated; an empty table
-    gives no rows. Two runs that append the same digest at a time do no harm: a digest's count is the same.
+    look-up; of the texts, those of one row per missing digest are encoded and their counts appended. Every count is then
+    taken from the cache; ``cached`` tells whether it was there before. Ids may be NULL or repeated; an empty table gives no
+    rows. Two runs that append the same digest at a time do no harm: a digest's count is the same.
     """
     spark, version = docs.sparkSession, tokenizer_version(path)
     marked = docs.select(F.col(id_column).alias("doc_id"), F.col(column).alias("text"), content_digest(F.col(column)).alias("digest"))
     row = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "digest")
     ids = materialise(marked.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"), "digest", row.alias("row")), "token_ids")
     wanted = ids.groupBy("digest").agg(F.min("row").alias("row"))
-    store = cached(spark, cache, version)
-    if store is None:
-        hits, misses = None, wanted
-    else:
-        wanted = materialise(wanted, "token_wanted")
-        hits = materialise(store.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")), "token_hits")
-        misses = wanted.join(hits, "digest", "left_anti")
-    misses = materialise(misses.select(F.col("digest").alias("__digest"), F.col("row").alias("__row")), "token_misses")
+    before = cached(spark, cache, version).select("digest").distinct().withColumn("cached", F.lit(True))
+    wanted = materialise(wanted.join(before, "digest", "left").select("digest", "row", F.coalesce("cached", F.lit(False)).alias("cached")), "token_wanted")
+    misses = wanted.where("not cached").select(F.col("digest").alias("__digest"), F.col("row").alias("__row"))
     # equal texts under other rows are left behind here, so no key holds more than repeats of one row
     chosen = marked.withColumn("row", row).join(misses, (F.col("row") == F.col("__row")) & (F.col("digest") == F.col("__digest"))).select("digest", "text")
 
@@ -123,7 +121,6 @@ def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = 2048, id_c
         return lambda texts: [counter.counts([t or "" for t in texts])]
 
     made = per_text(chosen, make, ["digest"], "n_tokens bigint")
-    fresh = materialise(made.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")), "token_fresh")
-    fresh.withColumn("version", F.lit(version)).write.mode("append").parquet(cache)
-    known = fresh if hits is None else fresh.unionByName(hits)
-    return ids.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    made.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")).withColumn("version", F.lit(version)).write.mode("append").parquet(cache)
+    counts = cached(spark, cache, version).join(wanted.select("digest", "cached"), "digest").groupBy("digest", "cached").agg(F.min("n_tokens").alias("n_tokens"))
+    return ids.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "cached")

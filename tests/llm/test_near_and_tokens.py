@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 import tiktoken
 import xxhash
 
@@ -90,14 +91,24 @@ def test_links_lose_nothing(spark, most):
 
 def test_forest_spares_pairs():
     fp = np.array([1 << i for i in range(60)], np.uint64)
-    a, b = S.forest(fp, 3)
-    assert len(a) == 59
+    assert len(S.forest(fp, S.distances(fp), 3)[0]) == 59
 
 
-def test_keep_one(spark):
-    t = X.prose(100, 1)
-    docs = X.documents(spark, [t, t, X.prose(100, 2), t], ids=[5, 3, 9, None])
-    assert sorted(S.keep_one(docs.unionByName(docs)).select("doc_id").toPandas().doc_id.fillna(-1)) == [-1, -1, 3, 9]
+def test_references_spare_verification(monkeypatch):
+    r = np.random.default_rng(4)
+    fp = r.integers(0, 1 << 63, 400).astype(np.uint64)
+    fp = np.unique(np.concatenate((fp, fp[:50] ^ np.uint64(5))))
+    a, b, verified = S.forest(fp, S.distances(fp), 3)
+    monkeypatch.setattr(S, "survivors", lambda d, i, left, most: np.arange(len(left)))
+    all_of = S.forest(fp, S.distances(fp), 3)
+    assert len(a) == len(all_of[0]) >= 50 and verified * 20 < all_of[2]
+
+
+def test_table_bounds_distances():
+    r = np.random.default_rng(5)
+    x, y = r.integers(0, 1 << 63, (2, 2000)).astype(np.uint64)
+    d = S.distances(np.concatenate((x, y)))
+    assert (np.abs(d[:2000] - d[2000:]).max(axis=1) <= np.bitwise_count(x ^ y)).all()
 
 
 def test_empty_tables(spark):
@@ -166,19 +177,27 @@ def test_token_counts_equal_library(spark):
     cache = f"{scratch_dir(spark)}/test-cache-{uuid.uuid4().hex}"
     docs = X.documents(spark, texts, ids=[None if i == 4 else i for i in range(len(texts))], clash=True)
     docs = docs.unionByName(docs.where("doc_id < 3"))
-    first = sorted(map(tuple, token_counts.count_tokens(docs, path, cache).collect()), key=str)
+    first = sorted([tuple(r)[:4] for r in token_counts.count_tokens(docs, path, cache).where("not cached").collect()], key=str)
     want = []
     for i, t in [*enumerate(texts), *enumerate(texts[:3])]:
         n = len(library.encode(t or "", add_special_tokens=False).ids)
         want.append((None if i == 4 else i, len((t or "").encode()), n, n > 2048))
     assert first == sorted(want, key=str)
-    stored = spark.read.parquet(cache)
+    stored = spark.createDataFrame(spark.read.parquet(cache).collect(), token_counts._CACHE)
     assert stored.count() == stored.select("digest").distinct().count() < len(texts)
     # a warm cache: nothing new is encoded, and a new text alone is appended
     more = docs.unionByName(X.documents(spark, ["brand new"], ids=[10_000], clash=True))
-    again = sorted(map(tuple, token_counts.count_tokens(more, path, cache).collect()), key=str)
+    made = token_counts.count_tokens(more, path, cache).collect()
+    assert [r.doc_id for r in made if not r.cached] == [10_000]
+    again = sorted([tuple(r)[:4] for r in made], key=str)
     assert [r for r in again if r[0] != 10_000] == first and len(again) == len(first) + 1
-    assert spark.read.parquet(cache).count() == stored.select("digest").distinct().count() + 1
+    assert spark.read.parquet(cache).count() == stored.count() + 1
+    # counts come out of the store: another one there is another one here
+    version = token_counts.tokenizer_version(path)
+    other = f"{scratch_dir(spark)}/test-cache-{uuid.uuid4().hex}"
+    spark.read.parquet(cache).withColumn("n_tokens", F.col("n_tokens") + 7).unionByName(spark.read.parquet(cache).withColumn("version", F.lit("older"))).write.parquet(other)
+    changed = sorted([(r.doc_id, r.n_bytes, r.n_tokens - 7, r.cached) for r in token_counts.count_tokens(docs, path, other).collect()], key=str)
+    assert changed == sorted([(*r[:3], True) for r in first], key=str) and spark.read.parquet(other).where(F.col("version") == version).count() == stored.count() + 1
 
 
 def test_every_simple_character_counts_as_library():
