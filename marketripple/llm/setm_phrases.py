@@ -1,7 +1,7 @@
 """Phrase collocations by relational mining of sorted occurrence relations (SETM).
 
 The occurrence relation R1 holds, per language, the words of every piece in the order of piece and position; it is written
-once, in rows of about eight megabytes of text whose pieces are whole, with the row's own vocabulary beside it. The loop
+once, in rows of about a megabyte of text whose pieces are whole, with the row's own vocabulary beside it. The loop
 for lengths 2, 3, ... is that of relational association mining:
 
 * **Merge join.** R(k) joined with itself on piece and adjacent position gives the phrases of k + 1 words. Both sides are
@@ -32,7 +32,7 @@ from marketripple.session import materialise
 _TABLE = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", b"\n" * 10 + b" ")
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text in a row of R1, and of all rows that a task holds open.
-ROW_BYTES, HELD_BYTES = 8_000_000, 32_000_000
+ROW_BYTES, HELD_BYTES = 1_000_000, 8_000_000
 #: Bits of the table that marks frequent phrases (8 MB), and probes of a phrase in it. They change speed only.
 FILTER_BITS, PROBES = 1 << 26, 2
 GAP = -1
@@ -66,7 +66,7 @@ def _occurrences(seed: int):
         held: dict[str, list] = {}
         size: dict[str, int] = {}
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=ROW_BYTES):
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     held.setdefault(lang, []).append(text)
                     size[lang] = size.get(lang, 0) + len(text or "") + 1
@@ -160,11 +160,16 @@ def _phrases(k: int, table):
                 for i in range(k):
                     ok &= items[i:i + n] >= 0
                 at = np.flatnonzero(ok)
+                if not len(at):
+                    continue
                 code, left = items[at].astype(np.int64), []
                 for i in range(1, k):  # codes of two words at a time stay below 2^63
-                    both, code = np.unique(code * len(hashes) + items[at + i], return_inverse=True)
+                    code = code * len(hashes) + items[at + i]
+                    if i < k - 1:
+                        both, code = np.unique(code, return_inverse=True)
+                    else:
+                        both, counts = np.unique(code, return_counts=True)
                     left.append(both)
-                counts = np.bincount(code, minlength=len(left[-1])) if len(at) else np.zeros(0, np.int64)
                 ids, at_code = [], np.arange(len(counts))
                 for both in reversed(left):
                     ids.append(both[at_code] % len(hashes))
