@@ -99,7 +99,26 @@ def _breadth(m):
     return BR.effective_breadth(N.slice_period(m.signal.select("date", "ticker", "z"), P.PERIODS), ("period",))
 
 
-cte("t_br", f"""
+def pair_breadth_sql(key: str, src: str) -> str:
+    """p^2 over the sum of squared correlations, each over the dates on which both names signal."""
+    return f"""
+with s as (select {key}, date, ticker, z from {src} where z <> 0),
+p as (select {key}, ticker from s group by 1, 2 having stddev_samp(z) > 1e-12),
+v as (select s.* from s join p on p.{key} = s.{key} and p.ticker = s.ticker),
+c as (select a.{key}, a.ticker as x, b.ticker as y, {B.corr_sql('a.z', 'b.z')} as c from v a join v b on b.{key} = a.{key} and b.date = a.date and b.ticker <> a.ticker group by 1, 2, 3),
+n as (select {key}, count(*) as n_names from p group by 1 having count(*) > 1),
+e as (select n.{key}, n_names + coalesce(sum(c * c), 0) as e from n left join c on c.{key} = n.{key} group by n.{key}, n_names)
+select n.{key}, n_names, n_names::double * n_names / e as n_eff, n_names::double / e as ratio from n join e on e.{key} = n.{key}"""
+
+
+cte("t_br", pair_breadth_sql("period", f"(select period, date, ticker, z from t_sig join {B.periods_sql()} on date between lo and hi)"))
+
+
+def _dense_breadth(m):
+    return BR.dense_breadth(N.slice_period(m.signal.select("date", "ticker", "z"), P.PERIODS), ("period",))
+
+
+cte("t_br_dense", f"""
 with s as (select period, date, ticker, z from t_sig join {B.periods_sql()} on date between lo and hi),
 k as (select period, ticker, avg(z) as mu, stddev_pop(z) as sd, count(*) as n from s group by 1, 2 having stddev_pop(z) > 1e-12),
 u as (select s.period, s.date, s.ticker, (z - mu) / (sd * sqrt(n)) as v from s join k on k.period = s.period and k.ticker = s.ticker),
@@ -107,8 +126,8 @@ g as (select a.period, a.date as d, b.date as e, sum(a.v * b.v) as g from u a jo
 e as (select period, sum(g * g) as e from g group by 1), n as (select period, count(*) as n_names from k group by 1)
 select n.period, n_names, n_names::double * n_names / e as n_eff, n_names::double / e as ratio from n join e on e.period = n.period""")
 query("inf_08_effective_breadth", _breadth, "select * from t_br", d="n_eff ratio")
-query("inf_08_correlation_energy", lambda m: _breadth(m).select("period", "n_names", (F.col("n_names") / F.col("ratio")).alias("energy")),
-      "select period, n_names, n_names / ratio as energy from t_br", d="energy")
+query("inf_08_correlation_energy", lambda m: _dense_breadth(m).select("period", "n_names", (F.col("n_names") / F.col("ratio")).alias("energy")),
+      "select period, n_names, n_names / ratio as energy from t_br_dense", d="energy")
 
 
 def attribution_sql(name: str, books: str, names: tuple[str, ...], lags: int, periods: int) -> None:
@@ -346,13 +365,7 @@ def _decision(m):
 
 
 cte("t_k_signal", " union all ".join(f"select {k}::integer as k, date, ticker, z from t_ss_k{k}" for k in KGRID))
-cte("t_k_br", f"""
-with s as (select * from t_k_signal where date > date '{P.CUT}'),
-n as (select k, ticker, avg(z) as mu, stddev_pop(z) as sd, count(*) as n from s group by 1, 2 having stddev_pop(z) > 1e-12),
-u as (select s.k, s.date, s.ticker, (z - mu) / (sd * sqrt(n)) as v from s join n on n.k = s.k and n.ticker = s.ticker),
-g as (select a.k, a.date as d, b.date as e, sum(a.v * b.v) as g from u a join u b on b.k = a.k and b.ticker = a.ticker group by 1, 2, 3),
-e as (select k, sum(g * g) as e from g group by 1), c as (select k, count(*) as n_names from n group by 1)
-select c.k, n_names::double * n_names / e as n_eff from c join e on e.k = c.k""")
+cte("t_k_br", pair_breadth_sql("k", f"(select * from t_k_signal where date > date '{P.CUT}')"))
 cte("t_k_oos", " union all ".join(f"select {k}::integer as k, sharpe from t_vt_k{k} where period = 'OOS'" for k in KGRID))
 query("inf_17_frozen_decision", _decision, """
 with w as (select k from t_frozen_is order by ic_is desc, k limit 1),

@@ -41,9 +41,10 @@ query("uni_10_universe_leavers", lambda m: U.universe_leavers(m.universe),
 query("uni_11_compare_monthly", lambda m: U.compare_monthly(m.universe, m.official), """
 select coalesce(u.mes, o.mes) as mes, count(u.ticker) as n_universo, count(o.ticker) as n_oficial,
  count(*) filter (u.ticker is not null and o.ticker is not null) as n_comum,
- count(*) filter (o.ticker is null) as n_sobra, count(*) filter (u.ticker is null) as n_falta,
- coalesce(string_agg(case when u.ticker is null then o.ticker end, ',' order by o.ticker), '') as faltam
+ count(*) filter (o.ticker is null) as n_sobra, count(*) filter (u.ticker is null) as n_falta
 from t_uni u full join t_official o on o.mes = u.mes and o.ticker = u.ticker group by 1""")
+query("uni_11_missing_monthly", lambda m: U.missing_monthly(m.universe, m.official), """
+select distinct o.mes, o.ticker as falta from t_official o left join t_uni u on u.mes = o.mes and u.ticker = o.ticker where u.ticker is null""")
 query("uni_12_compare_consolidated", lambda m: U.compare_consolidated(m.universe, m.official), """
 select count(u.ticker) as n_universo, count(o.ticker) as n_oficial,
  count(*) filter (u.ticker is not null and o.ticker is not null) as n_comum,

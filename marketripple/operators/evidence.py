@@ -346,17 +346,25 @@ def frozen_decision(base: DataFrame, winner: DataFrame, min_sharpe: float = 0.05
 def block_bootstrap(s: DataFrame, r: str = "r", block: int = 21, draws: int = 1000, seed: int = 42, periods: int = 252) -> DataFrame:
     """(draw, sharpe) of resampled blocks of consecutive dates. Block starts come from a hash of (seed, draw, block).
 
-    Draws x blocks are rows that meet the series by position, so draws spread over the cluster.
+    The sums of a block are differences of prefix sums of the series (less its mean) and of its square, so draws x blocks are
+    rows that look up two positions each. NULL returns take no part; a draw without variance has NULL.
     """
-    pos = s.select((F.row_number().over(Window.orderBy("date")) - 1).alias("pos"), F.col(r).alias("r"))  # one row per date
-    n = pos.agg(F.count(F.lit(1)).alias("n"))
-    d = n.select("n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    d = d.repartition("draw").select("n", "draw", F.explode(F.sequence(F.lit(0), F.expr(f"cast(ceil(n / {block}) as int) - 1"))).alias("b"))
+    order = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # one row per date
+    mean = s.agg(F.avg(r).alias("m")).select("m").scalar()
+    c = s.select("date", (F.col(r) - mean).alias("c"))
+    ends = c.select(F.row_number().over(Window.orderBy("date")).alias("pos"), F.count("c").over(order).alias("n"), F.sum(F.coalesce("c", F.lit(0.0))).over(order).alias("s"),
+                    F.sum(F.coalesce(F.col("c") * F.col("c"), F.lit(0.0))).over(order).alias("q"))
+    prefix = ends.unionByName(s.sparkSession.range(1).select(F.lit(0).alias("pos"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q")))
+    d = s.agg(F.count(F.lit(1)).alias("size")).select("size", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    d = d.repartition("draw").select("size", "draw", F.explode(F.sequence(F.lit(0), F.expr(f"cast(ceil(size / {block}) as int) - 1"))).alias("b"))
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "draw", "b")), 1, 8), 16, 10).cast("long")
-    d = d.withColumn("start", h % F.greatest(F.col("n") - block + 1, F.lit(1)))
-    d = d.select("n", "draw", "b", "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("j"))
-    d = d.where(F.col("b") * block + F.col("j") < F.col("n")).select("draw", (F.col("start") + F.col("j")).alias("pos"))
-    return d.join(F.broadcast(pos), "pos").groupBy("draw").agg(sharpe_agg("r", periods).alias("sharpe"))
+    d = d.withColumn("start", h % F.greatest(F.col("size") - block + 1, F.lit(1)))
+    d = d.select("draw", "start", (F.col("start") + F.least(F.lit(block), F.col("size") - F.col("b") * block)).alias("end"))
+    low, high = (F.broadcast(prefix.select(F.col("pos").alias(at), F.struct("n", "s", "q").alias(x))) for at, x in (("start", "low"), ("end", "high")))  # one row per date
+    sums = d.join(low, "start").join(high, "end").groupBy("draw").agg(*[F.sum(F.col(f"high.{x}") - F.col(f"low.{x}")).alias(x) for x in "nsq"])
+    var = F.try_divide(F.col("q") - F.try_divide(F.col("s") * F.col("s"), F.col("n").cast("double")), (F.col("n") - 1).cast("double"))
+    sharpe = (mean + F.try_divide(F.col("s"), F.col("n").cast("double"))) / F.sqrt(var) * math.sqrt(periods)
+    return sums.select("draw", F.when(var > NO_VARIANCE ** 2, sharpe).alias("sharpe"))
 
 
 def bootstrap_summary(draws: DataFrame) -> DataFrame:

@@ -5,11 +5,12 @@ A ``book`` is a dense table (keys..., date, idx, ticker, w, r, adtv, beta, secto
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -368,17 +369,25 @@ def validate_final(weights: DataFrame, book: DataFrame, p: BookParams = BookPara
 def no_trade_band(weights: DataFrame, band: float, keys: Sequence[str] = ()) -> DataFrame:
     """Keep the held weight while |target - held| < band (path-dependent).
 
-    The fold runs inside one ticker's calendar (bounded by the number of dates) in expression code, per ticker
-    in parallel; groups never mix tickers.
+    Rows are sorted by ticker and position; a task folds them one after another and carries one held weight, so the work is
+    linear in the dates and a ticker's history is never in one row. NULL targets count as 0; the first held weight is 0.
     """
-    seq = weights.groupBy(*keys, "ticker").agg(F.array_sort(F.collect_list(F.struct("idx", "date", "w"))).alias("s"))
-    start = F.struct(F.lit(0.0).alias("held"), F.array().cast("array<double>").alias("path"))
-
-    def step(a, x):
-        target = F.coalesce(x["w"], F.lit(0.0))
-        held = F.when(F.abs(target - a["held"]) < band, a["held"]).otherwise(target)
-        return F.struct(held.alias("held"), F.concat(a["path"], F.array(held)).alias("path"))
-
-    out = seq.withColumn("path", F.aggregate("s", start, step, lambda a: a["path"]))
-    z = out.select(*keys, "ticker", F.explode(F.arrays_zip("s", "path")).alias("x"))
-    return z.select(*keys, "x.s.date", "x.s.idx", "ticker", F.col("x.s.w").alias("target"), F.col("x.path").alias("held"))
+    by = [*keys, "ticker"]
+    rows = weights.select(F.xxhash64(*by).alias("_group"), *by, "idx", "date", F.col("w").alias("target"))
+    out = rows.drop("_group").withColumn("held", F.lit(0.0))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, 0.0
+        for batch in batches:
+            path = []
+            for key, target in zip(zip(*[batch.column(c).to_pylist() for c in range(1, len(by) + 1)]), batch.column(len(by) + 3).to_pylist()):
+                if key != now:
+                    now, held = key, 0.0
+                target = target or 0.0
+                if abs(target - held) >= band:
+                    held = target
+                path.append(held)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(path, pa.float64())], names=[*batch.schema.names[1:], "held"])
+
+    held = rows.repartition("_group").sortWithinPartitions("_group", *by, "idx").mapInArrow(fold, out.schema)
+    return held.select(*keys, "date", "idx", "ticker", "target", "held")

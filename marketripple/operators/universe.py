@@ -109,16 +109,18 @@ def universe_leavers(universe: DataFrame) -> DataFrame:
 
 
 def compare_monthly(universe: DataFrame, official: DataFrame) -> DataFrame:
-    """Per month: sizes, matched, surplus, missing and the sorted list of missing names."""
+    """Per month: sizes, matched, surplus and missing names. ``missing_monthly`` lists the missing ones."""
     u = universe.select("mes", "ticker", F.lit(True).alias("u"))
     o = official.select("mes", "ticker", F.lit(True).alias("o"))
-    j = u.join(o, ["mes", "ticker"], "full")
-    miss = F.col("u").isNull()
-    return j.groupBy("mes").agg(
+    return u.join(o, ["mes", "ticker"], "full").groupBy("mes").agg(
         F.count("u").alias("n_universo"), F.count("o").alias("n_oficial"),
         F.count_if(F.col("u").isNotNull() & F.col("o").isNotNull()).alias("n_comum"),
-        F.count_if(F.col("o").isNull()).alias("n_sobra"), F.count_if(miss).alias("n_falta"),
-        F.array_join(F.sort_array(F.collect_list(F.when(miss, F.col("ticker")))), ",").alias("faltam"))
+        F.count_if(F.col("o").isNull()).alias("n_sobra"), F.count_if(F.col("u").isNull()).alias("n_falta"))
+
+
+def missing_monthly(universe: DataFrame, official: DataFrame) -> DataFrame:
+    """(mes, falta), one row for each official name that a month's universe lacks."""
+    return official.select("mes", "ticker").distinct().join(universe, ["mes", "ticker"], "left_anti").select("mes", F.col("ticker").alias("falta"))
 
 
 def compare_consolidated(universe: DataFrame, official: DataFrame) -> DataFrame:

@@ -84,12 +84,40 @@ def test_breadth_of_known_cases(spark):
     waves = {"A": [1, -1, 1, -1], "B": [1, 1, -1, -1], "C": [1, -1, -1, 1]}
     rows = lambda names: [(day(i), t, float(v)) for t, w in names.items() for i, v in enumerate(w)]
     schema = "date date, ticker string, z double"
-    got = lambda names: BR.effective_breadth(spark.createDataFrame(rows(names), schema)).first()
+    got = lambda names: BR.dense_breadth(spark.createDataFrame(rows(names), schema)).first()
     g = got(waves | {"flat": [5, 5, 5, 5]})
     assert g["n_names"] == 3 and g["n_eff"] == pytest.approx(3) and g["ratio"] == pytest.approx(1)
     assert got({"A": waves["A"], "A2": [10 * v for v in waves["A"]], "A3": [-v for v in waves["A"]]})["n_eff"] == pytest.approx(1)
     # two names with correlation 1/2: 4 / (2 + 2/4)
     assert got({"A": [1, -1, 0, 0, 1, -1, 0, 0], "B": [1, -1, 0, 0, 0, 0, 1, -1]})["n_eff"] == pytest.approx(4 / 2.5)
+    pairs = BR.effective_breadth(spark.createDataFrame(rows(waves | {"flat": [5, 5, 5, 5]}), schema)).first()
+    assert pairs["n_names"] == 3 and pairs["n_eff"] == pytest.approx(3)
+
+
+@pytest.mark.parametrize("tile,block", [(256, 64), (4, 3)])
+def test_pairwise_breadth_equals_pandas(spark, monkeypatch, tile, block):
+    import numpy as np
+    import pandas as pd
+    monkeypatch.setattr(BR, "BLOCK", block)
+    r = np.random.default_rng(3)
+    common, rows, want = r.normal(size=40), [], {}
+    for key in ("a", "b"):
+        z = 0.7 * common[:, None] + r.normal(size=(40, 17))
+        z[r.random(z.shape) < 0.4] = 0  # no signal
+        z[:, 3] = 0
+        z[:, 4] = np.where(np.arange(40) < 5, 2.5, 0)  # no variance
+        z[:, 5] = np.where(np.arange(40) == 9, 1.0, 0)  # one signal
+        z[:20, 6], z[20:, 7] = 0, 0  # no date in common
+        f = pd.DataFrame(z).replace(0.0, np.nan).dropna(axis=1, how="all")
+        f = f.loc[:, f.std() > 1e-12]
+        c = np.nan_to_num(f.corr().to_numpy(), nan=0.0)
+        np.fill_diagonal(c, 1.0)
+        want[key] = (len(c), len(c) ** 2 / (c * c).sum())
+        rows += [(key, day(i), f"N{j:02d}", float(z[i, j])) for i in range(40) for j in range(17)]
+    rows += [("one", day(i), "N00", float(i)) for i in range(5)]
+    got = BR.effective_breadth(spark.createDataFrame(rows, "key string, date date, ticker string, z double"), ("key",), tile=tile).collect()
+    assert {g["key"]: g["n_names"] for g in got} == {k: v[0] for k, v in want.items()}
+    assert all(g["n_eff"] == pytest.approx(want[g["key"]][1], rel=1e-9) for g in got)
 
 
 def test_lag_rule_beyond_the_lags_is_an_error(spark):
@@ -141,3 +169,21 @@ def test_bootstrap_draws_whole_blocks(spark):
     s = spark.createDataFrame([(day(i), float(i % 7) - 3) for i in range(50)], "date date, r double")
     b = O.block_bootstrap(s, "r", 10, 20)
     assert b.count() == 20 and b.where(F.col("sharpe").isNull()).count() == 0
+
+
+def test_bootstrap_equals_resampled_rows(spark):
+    import hashlib
+
+    import numpy as np
+    r = [0.01 * math.sin(3 * i) + 5.0 if i % 7 else None for i in range(50)]
+    s = spark.createDataFrame([(day(i), v) for i, v in enumerate(r)], "date date, r double")
+    got = {x["draw"]: x["sharpe"] for x in O.block_bootstrap(s, "r", 8, 30).collect()}
+    for draw in range(30):
+        rows = []
+        for b in range(7):
+            start = int(hashlib.md5(f"42|{draw}|{b}".encode()).hexdigest()[:8], 16) % 43
+            rows += r[start:start + 8][:50 - 8 * b]
+        rows = [x for x in rows if x is not None]
+        assert got[draw] == pytest.approx(np.mean(rows) / np.std(rows, ddof=1) * math.sqrt(252), rel=1e-6)
+    flat = O.block_bootstrap(s.selectExpr("date", "1.0D as r"), "r", 8, 2).collect()
+    assert [x["sharpe"] for x in flat] == [None, None]

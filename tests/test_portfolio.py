@@ -128,3 +128,19 @@ def test_no_trade_band_matches_loop(spark):
     for i in range(40):
         held = np.where(np.abs(x[i] - held) < 0.02, held, x[i])
         np.testing.assert_allclose(got[i], held)
+
+
+def test_no_trade_band_is_linear_in_dates(spark):
+    """Four times the dates take about four times as long: nothing grows along a ticker's history."""
+    import time
+
+    def seconds(n):
+        rows = spark.range(n * 8).selectExpr("cast(id % 8 as string) as ticker", "cast(id div 8 as int) as idx", "date_add(date'1990-01-01', cast(id div 8 as int)) as date",
+                                             "sin(id * 0.37) * 0.05 as w")
+        t = time.time()
+        out = O.no_trade_band(rows, 0.02).where("held <> 0").count()
+        assert out > n
+        return time.time() - t
+
+    seconds(2_000)
+    assert seconds(80_000) < 40 * max(seconds(2_000), 0.2)
