@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from marketripple.session import materialise
+
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -110,20 +112,32 @@ def normal_cdf(x: str | Column) -> Column:
 
 
 ROWS_PER_SALT = 20_000
+#: Hot keys up to which their list is broadcast; a longer one is joined like any table.
+LISTED_KEYS = 100_000
+
 
+def hot_keys(df: DataFrame, on: Sequence[str], rows: int = ROWS_PER_SALT) -> DataFrame:
+    """(on, _salts): the keys with more than ``rows`` rows, at most one for each ``rows`` of the table, and the parts they are
+    cut into. Counts are added up before they move."""
+    return df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows).select(*on, F.ceil(F.col("_n") / rows).cast("int").alias("_salts"))
 
-def salt_counts(df: DataFrame, on: Sequence[str], rows: int = ROWS_PER_SALT) -> DataFrame:
-    """(on, _salts): into how many parts the rows of a key are cut, one for up to ``rows`` of them."""
-    return df.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_salts"))
 
+def salted_join(small: DataFrame, large: DataFrame, on: Sequence[str], by: str, rows: int = ROWS_PER_SALT) -> DataFrame:
+    """Inner join in which a key with more than ``rows`` rows in ``large`` is cut into parts by a hash of ``by``, and only the
+    rows of ``small`` with such a key repeat per part.
 
-def salted_join(small: DataFrame, large: DataFrame, on: Sequence[str], by: str) -> DataFrame:
-    """Inner join in which a hot key of ``large`` is cut into parts by a hash of ``by``, and only the rows of ``small``
-    with such a key repeat per part. Rows of ``small`` without a match leave before that."""
+    The list of hot keys is written and counted first: without any, this is a plain join; a short one is broadcast to both
+    sides, so that no row moves by its bare key.
+    """
     on = list(on)
-    parts = salt_counts(large, on)
-    s = small.join(parts, on).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
-    big = large.join(parts, on).withColumn("_salt", F.pmod(F.hash(by), F.col("_salts"))).drop("_salts")
+    hot = materialise(hot_keys(large, on, rows), "hot_keys")
+    n = hot.limit(LISTED_KEYS + 1).count()
+    if not n:
+        return small.join(large, on)
+    marks = F.broadcast(hot) if n <= LISTED_KEYS else hot
+    parts = F.coalesce("_salts", F.lit(1))
+    s = small.join(marks, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_salts")
+    big = large.join(marks, on, "left").withColumn("_salt", F.pmod(F.hash(by), parts)).drop("_salts")
     return s.join(big, [*on, "_salt"]).drop("_salt")
 
 

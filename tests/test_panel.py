@@ -162,12 +162,39 @@ def test_names_are_one_to_one(spark):
     assert r[0] == r[1] == 3_001_000 and r[2] == 5
 
 
-def test_salted_join_is_a_join(spark):
+@pytest.mark.parametrize("rows,listed", [(1000, 100_000), (1000, 0), (20_000, 100_000)])
+def test_salted_join_is_a_join(spark, monkeypatch, rows, listed):
     from marketripple.functions import expr
-    large = spark.range(5000).selectExpr("if(id < 4000, 'hub', concat('k', id % 7)) as src", "id as dst")
-    small = spark.createDataFrame([("hub", 1), ("k1", 2), ("k1", 3), ("none", 4)], "src string, x int")
-    parts = {r["src"]: r["_salts"] for r in expr.salt_counts(large, ["src"], 1000).collect()}
-    assert parts["hub"] == 4 and parts["k1"] == 1
-    got = expr.salted_join(small, large, ["src"], "dst")
+    monkeypatch.setattr(expr, "LISTED_KEYS", listed)
+    large = spark.range(5000).selectExpr("if(id < 4000, 'hub', if(id = 4999, null, concat('k', id % 7))) as src", "id as dst")
+    small = spark.createDataFrame([("hub", 1), ("k1", 2), ("k1", 3), ("none", 4), (None, 5)], "src string, x int")
+    assert [tuple(r) for r in expr.hot_keys(large, ["src"], 1000).collect()] == [("hub", 4)]
+    got = expr.salted_join(small, large, ["src"], "dst", rows)
     want = small.join(large, "src")
-    assert got.count() == want.count() and got.exceptAll(want.select(*got.columns)).isEmpty()
+    assert got.columns == want.columns and got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
+def test_hot_rows_never_move_by_their_bare_key(spark):
+    from marketripple.functions import expr
+    large = spark.range(50_000).selectExpr("if(id < 45000, 'hub', concat('k', id % 7)) as src", "id as dst")
+    small = spark.createDataFrame([("hub", 1), ("k1", 2)], "src string, x int")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        joined = expr.salted_join(small, large, ["src"], "dst")
+        plan = plan_of(joined)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    exchanges = [line for line in plan.splitlines() if "hashpartitioning" in line]
+    assert len(exchanges) == 2 and all("_salt" in line for line in exchanges), plan
+
+
+def plan_of(df):
+    import contextlib
+    import io
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    return out.getvalue()
