@@ -18,11 +18,12 @@ seed if they do. Phrases are tuples of these, never hashes of hashes, so counts
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketripple.llm.common import slices
@@ -35,6 +36,8 @@ _LOWER = "abcdefghijklmnopqrstuvwxyz"
 ROW_BYTES, HELD_BYTES = 1_000_000, 8_000_000
 #: Bits of the table that marks frequent phrases (8 MB), and probes of a phrase in it. They change speed only.
 FILTER_BITS, PROBES = 1 << 26, 2
+#: Rows of R1 or R2 that stand in one Arrow batch.
+BATCH_ROWS = 4
 GAP = -1
 _R1 = "lang string, n bigint, items binary, hashes array<bigint>, words array<string>, counts array<bigint>"
 
@@ -197,6 +200,18 @@ def _semi_join(k: int, before, table):
     return run
 
 
+@contextmanager
+def wide_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Arrow batches of few rows, for tables whose rows hold megabytes: a batch stands in the JVM and in Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def names(k: int) -> list[str]:
     return [f"w{i}" for i in range(1, k + 1)]
 
@@ -216,16 +231,18 @@ def occurrences(docs: DataFrame, attempts: int = 4) -> tuple[DataFrame, DataFram
 
 def frequent_phrases(docs: DataFrame, longest: int = 3, least: int = 10, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, dict[int, DataFrame]]:
     """R1 and, by length, the phrases that occur at least ``least`` times: C(1) is (w1, f, lang, word), C(k) is (w1, .., wk, f)."""
-    context = docs.sparkSession.sparkContext
+    spark, context = docs.sparkSession, docs.sparkSession.sparkContext
     r1, words = occurrences(docs)
     found = {1: materialise(words.where(F.col("f") >= least), "setm_c1")}
     rows, table = r1.select("items", "hashes"), context.broadcast(bit_table(found[1], ["w1"], filter_bits))
     for k in range(2, longest + 1):
         counted = rows.mapInArrow(_phrases(k, table if k == 2 else None), ", ".join(f"{w} bigint" for w in [*names(k), "c"]))
-        found[k] = materialise(counted.groupBy(*names(k)).agg(F.sum("c").alias("f")).where(F.col("f") >= least), f"setm_c{k}")
+        with wide_rows(spark):
+            found[k] = materialise(counted.groupBy(*names(k)).agg(F.sum("c").alias("f")).where(F.col("f") >= least), f"setm_c{k}")
         if k < longest:
             before, table = (table if k == 2 else None), context.broadcast(bit_table(found[k], names(k), filter_bits))
-            rows = materialise(rows.mapInArrow(_semi_join(k, before, table), "items binary, hashes array<bigint>"), f"setm_r{k}")
+            with wide_rows(spark):
+                rows = materialise(rows.mapInArrow(_semi_join(k, before, table), "items binary, hashes array<bigint>"), f"setm_r{k}")
     return r1, found
 
 
