@@ -38,6 +38,8 @@ ROW_BYTES, HELD_BYTES = 1_000_000, 8_000_000
 FILTER_BITS, PROBES = 1 << 26, 2
 #: Rows of R1 or R2 that stand in one Arrow batch.
 BATCH_ROWS = 4
+#: Parts of a language whose best phrases are found apart, before those of the language.
+PARTS = 256
 GAP = -1
 _R1 = "lang string, n bigint, items binary, hashes array<bigint>, words array<string>, counts array<bigint>"
 
@@ -290,8 +292,10 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, inside: int
     every = scored[0]
     for x in scored[1:]:
         every = every.unionByName(x)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    best = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    for by in (["lang", "part"], ["lang"]):  # a language's best are among those of its parts, so no task sorts all of a language
+        every = every.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*best))).where(F.col("rank") <= top)
+    ranked = every
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
