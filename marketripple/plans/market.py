@@ -294,12 +294,18 @@ class Market:
         return panel.shift(self.panel, "r", -1, "y")
 
 
-_MARKETS: dict[tuple[str, str], Market] = {}
+_MARKETS: dict[tuple[str, str], tuple[tuple, Market]] = {}
+
+
+def files_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Number, bytes and newest time of the folder's table files, and a checksum of them; only file metadata are read."""
+    files = spark.read.format("binaryFile").load(f"{sf_dir}/*.parquet").select("path", "length", "modificationTime")
+    return tuple(files.agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime"), F.bit_xor(F.xxhash64(*files.columns))).first())
 
 
 def market(spark: SparkSession, sf_dir: str, fresh: bool = False) -> Market:
-    """One market per session and folder, so its contract tables are built once; ``fresh`` starts over."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if fresh or key not in _MARKETS:
-        _MARKETS[key] = Market(spark, sf_dir)
-    return _MARKETS[key]
+    """One market per session and folder, so its contract tables are built once; changed files, or ``fresh``, start over."""
+    key, state = (spark.sparkContext.applicationId, sf_dir), files_state(spark, sf_dir)
+    if fresh or key not in _MARKETS or _MARKETS[key][0] != state:
+        _MARKETS[key] = (state, Market(spark, sf_dir))
+    return _MARKETS[key][1]

@@ -38,10 +38,22 @@ def field(line: str | Column, name: str) -> Column:
     return F.substring(line, start, n)
 
 
-def parse_records(lines: DataFrame) -> DataFrame:
-    """Cash-market trade records. Width, type and market reject a line before its numbers are read."""
+def parse_records(lines: DataFrame, malformed: str = "zero") -> DataFrame:
+    """Cash-market trade records. Width, type and market reject a line before its numbers are read.
+
+    A close, volume or factor that is no number is 0 (``malformed="zero"``, see ``ingest_counters``) or ends the job with the
+    field and the line's first characters (``malformed="fail"``); a field that no later step reads is not looked at.
+    """
+    if malformed not in ("zero", "fail"):
+        raise ValueError(f"malformed must be zero or fail, not {malformed!r}")
     keep = ((F.length("line") == WIDTH) & (field("line", "tipo") == RECORD) & (field("line", "mercado") == CASH_MARKET))
-    num = lambda n: F.coalesce(F.try_to_number(F.trim(field("line", n)), F.lit("9" * FIELDS[n][1])).cast("double"), F.lit(0.0))
+
+    def num(n: str) -> Column:
+        other = F.lit(0.0)
+        if malformed == "fail":
+            other = F.raise_error(F.concat(F.lit(f"{n} is no number: "), F.substring("line", 1, 30))).cast("double")
+        return F.coalesce(F.try_to_number(F.trim(field("line", n)), F.lit("9" * FIELDS[n][1])).cast("double"), other)
+
     d = lines.where(keep).select(
         F.to_date(field("line", "data"), "yyyyMMdd").alias("date"), F.trim(field("line", "bdi")).alias("bdi"),
         F.trim(field("line", "ticker")).alias("ticker"), (num("close") / 100).alias("close"),

@@ -1,5 +1,8 @@
 import datetime as dt
+import shutil
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from marketripple.operators import reference_data as R
 from marketripple.operators import returns as RET
 from marketripple.operators import signal as S
 from marketripple.operators import universe as U
+from marketripple.plans.market import market
 from marketripple.sources import files as FS
 from tests.helpers import day
 
@@ -100,6 +104,31 @@ def test_fixed_width_bytes(spark, tmp_path):
     assert (c["n_lines"], c["n_wrong_width"], c["n_records"], c["n_cash"]) == (6, 1, 4, 3)
 
 
+def test_malformed_number_fails_on_request(spark):
+    good = ("01" + "20200131" + "02" + "PETR4".ljust(12) + "010" + " " * 81 + "0000000012345" + "0" * 49 + "000000000000067890" + " " * 22 + "0000001").ljust(245)
+    bad = good.replace("0000000012345", "00000000X2345")
+    lines = spark.createDataFrame([(good,), (bad,), ("02" + bad[2:],)], "line string")
+    assert sorted(r["close"] for r in FS.parse_records(lines).collect()) == [0.0, 123.45]
+    assert [r["close"] for r in FS.parse_records(lines.where(F.col("line") != bad), malformed="fail").collect()] == [123.45]
+    with pytest.raises(Exception, match="close is no number"):
+        FS.parse_records(lines, malformed="fail").collect()
+    with pytest.raises(ValueError):
+        FS.parse_records(lines, malformed="skip")
+
+
+def test_market_sees_rewritten_table(spark, tmp_path):
+    for f in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        shutil.copyfile(f, tmp_path / f.name)
+    first = market(spark, str(tmp_path))
+    n = first.obs.count()
+    assert market(spark, str(tmp_path)) is first
+    path = tmp_path / "lineitem.parquet"
+    pq.write_table(pq.read_table(path).slice(0, 500), path)
+    second = market(spark, str(tmp_path))
+    assert second is not first and 0 < second.obs.count() < n
+    assert market(spark, str(tmp_path)) is second
+
+
 def test_fallback_and_cache(spark, tmp_path):
     df = spark.range(3)
     FS.write_table(df, str(tmp_path / "b"))
