@@ -120,6 +120,32 @@ def test_pairwise_breadth_equals_pandas(spark, monkeypatch, tile, block):
     assert all(g["n_eff"] == pytest.approx(want[g["key"]][1], rel=1e-9) for g in got)
 
 
+@pytest.mark.parametrize("tile", [256, 9])
+def test_positive_eigenvalues_equal_numpy(spark, tile):
+    """One tile in a task and a matrix of tiles give the same, with negative eigenvalues in the matrix."""
+    import pandas as pd
+    r = np.random.default_rng(8)
+    common, rows, want, least = r.normal(size=30), [], {}, 0.0
+    for key, share in (("a", 0.9), ("b", 0.2)):
+        z = share * common[:, None] + r.normal(size=(30, 14))
+        z[r.random(z.shape) < 0.6] = 0
+        f = pd.DataFrame(z).replace(0.0, np.nan)
+        c = np.nan_to_num(f.corr().to_numpy(), nan=0.0)
+        np.fill_diagonal(c, 1.0)
+        ev = np.linalg.eigvalsh(c)
+        least, ev = min(least, ev[0]), ev[ev > 0]
+        want[key] = (14, ev.sum() ** 2 / (ev ** 2).sum(), ev[-1] / ev.sum())
+        rows += [(key, day(i), f"N{j:02d}", float(z[i, j])) for i in range(30) for j in range(14)]
+    assert least < -0.1
+    rows += [("one", day(i), "N00", float(i)) for i in range(5)]
+    got = BR.spectral_breadth(spark.createDataFrame(rows, "key string, date date, ticker string, z double"), ("key",), tile=tile).collect()
+    assert {g["key"] for g in got} == set(want)
+    for g in got:
+        n, n_eff, share = want[g["key"]]
+        assert g["n_names"] == n and g["n_eff"] == pytest.approx(n_eff, rel=1e-6) and g["pc1_share"] == pytest.approx(share, rel=1e-6)
+        assert g["ratio"] == pytest.approx(n_eff / n, rel=1e-6)
+
+
 def test_lag_rule_beyond_the_lags_is_an_error(spark):
     ic = spark.range(200).selectExpr("date_add(date'2000-01-01', cast(id as int)) as date", "cast(id % 7 as double) as ic")
     with pytest.raises(Exception, match="auto_cap"):
