@@ -114,6 +114,31 @@ select n.{key}, n_names, n_names::double * n_names / e as n_eff, n_names::double
 cte("t_br", pair_breadth_sql("period", f"(select period, date, ticker, z from t_sig join {B.periods_sql()} on date between lo and hi)"))
 
 
+def spectrum_sql(key: str, src: str, steps: int = 50, squares: int = 24) -> str:
+    """The sign of the pairwise-complete matrix by Newton-Schulz steps, its positive part, and that part's powers, by joins."""
+    return f"""
+with recursive s as (select {key}, date, ticker, z from {src} where z <> 0),
+p as (select {key}, ticker, row_number() over (partition by {key} order by ticker) as x, count(*) over (partition by {key}) as n_names
+  from (select {key}, ticker from s group by 1, 2 having stddev_samp(z) > 1e-12)),
+v as (select s.{key}, s.date, s.z, p.x from s join p on p.{key} = s.{key} and p.ticker = s.ticker),
+k as (select a.{key}, a.x, b.x as y, {B.corr_sql('a.z', 'b.z')} as c from v a join v b on b.{key} = a.{key} and b.date = a.date and b.x <> a.x group by 1, 2, 3),
+c as materialized (select a.{key}, a.x, b.x as y, case when a.x = b.x then 1.0::double else coalesce(k.c, 0) end as c from p a join p b on b.{key} = a.{key} and b.n_names > 1
+  left join k on k.{key} = a.{key} and k.x = a.x and k.y = b.x),
+g(step, {key}, x, y, v) as (select 0, c.{key}, x, y, c / f from c join (select {key}, sqrt(sum(c * c)) as f from c group by 1) n on n.{key} = c.{key}
+  union all select a.step + 1, a.{key}, a.x, h.y, sum(a.v * h.w) from g a join
+   (select a.{key}, a.x, b.y, case when a.x = b.y then 1.5::double else 0 end - 0.5::double * sum(a.v * b.v) as w from g a join g b on b.{key} = a.{key} and b.x = a.y group by a.{key}, a.x, b.y) h
+   on h.{key} = a.{key} and h.x = a.y where a.step < {steps} group by 1, 2, 3, 4),
+sg as materialized (select {key}, x, y, v from g where step = {steps}),
+ab as materialized (select a.{key}, a.x, b.y, sum(a.c * b.v) as v from c a join sg b on b.{key} = a.{key} and b.x = a.y group by 1, 2, 3),
+po as materialized (select c.{key}, c.x, c.y, (c.c + ab.v) / 2 as v from c join ab on ab.{key} = c.{key} and ab.x = c.x and ab.y = c.y),
+t as (select {key}, sum(case when x = y then v else 0 end) as one, sum(v * v) as two, max(x) as n_names from po group by 1),
+q(step, {key}, x, y, v) as (select 0, po.{key}, x, y, v / one from po join t on t.{key} = po.{key}
+  union all select step + 1, {key}, x, y, v / sum(case when x = y then v else 0 end) over (partition by {key}) from
+   (select a.step, a.{key}, a.x, b.y, sum(a.v * b.v) as v from q a join q b on b.{key} = a.{key} and b.x = a.y where a.step < {squares} group by 1, 2, 3, 4)),
+top as (select q.{key}, sum(q.v * po.v) as top from q join po on po.{key} = q.{key} and po.x = q.x and po.y = q.y where step = {squares} group by 1)
+select t.{key}, n_names, one * one / two as n_eff, one * one / two / n_names as ratio, top / one as pc1_share from t join top on top.{key} = t.{key}"""
+
+
 def _dense_breadth(m):
     return BR.dense_breadth(N.slice_period(m.signal.select("date", "ticker", "z"), P.PERIODS), ("period",))
 
@@ -126,6 +151,8 @@ g as (select a.period, a.date as d, b.date as e, sum(a.v * b.v) as g from u a jo
 e as (select period, sum(g * g) as e from g group by 1), n as (select period, count(*) as n_names from k group by 1)
 select n.period, n_names, n_names::double * n_names / e as n_eff, n_names::double / e as ratio from n join e on e.period = n.period""")
 query("inf_08_effective_breadth", _breadth, "select * from t_br", d="n_eff ratio")
+query("inf_08_positive_breadth", lambda m: BR.spectral_breadth(N.slice_period(m.signal.select("date", "ticker", "z"), P.PERIODS), ("period",)),
+      f"select * from ({spectrum_sql('period', f'(select period, date, ticker, z from t_sig join {B.periods_sql()} on date between lo and hi)')}) as x", d="n_eff ratio pc1_share")
 query("inf_08_correlation_energy", lambda m: _dense_breadth(m).select("period", "n_names", (F.col("n_names") / F.col("ratio")).alias("energy")),
       "select period, n_names, n_names / ratio as energy from t_br_dense", d="energy")
 
