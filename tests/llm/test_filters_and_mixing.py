@@ -15,6 +15,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(__file__))
 import fixtures_llm as X  # noqa: E402
 
+from pyspark.sql import functions as F  # noqa: E402
 from marketripple.llm import quality_mil as Q, secret_markov as K, source_mixing as M, url_markov as U  # noqa: E402
 from marketripple.llm.queries import RULES  # noqa: E402
 
@@ -218,7 +219,7 @@ def test_mix_follows_brute_force(spark):
     for i, s in enumerate(sources):
         assert got[i].size == size[i] and got[i].source_size == sums[s] and math.isclose(got[i].target, want[s], rel_tol=1e-9)
         w = max(0.1, len([c for c in texts[i] if c not in M.SYMBOLS]) / len(texts[i])) if texts[i] else 0.1
-        u = (int(hashlib.md5(str(i).encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        u = (int(hashlib.md5(f"{i}:{texts[i] or ''}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
         by[s].append((-math.log(u) / w, i))
     for s, rows in by.items():
         epochs = int(want[s] // sums[s]) if sums[s] else 0
@@ -247,6 +248,28 @@ def test_mix_empty_and_copies(spark):
     assert out.columns == docs.columns and Counter(r.doc_id for r in out.collect()) == Counter({i: k for i, k in n.items() if k})
 
 
+def test_mix_of_equal_rows_and_rows_without_id(spark):
+    """Rows without id, with one id, or equal in all: the mix meets its target, and so do the copies."""
+    texts = [X.prose(10, i) for i in range(300)] + [X.prose(12, 999)] * 2000
+    docs = X.documents(spark, texts, sources=["a"] * 1700 + ["b"] * 600, clash=True)
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, None).when(F.col("doc_id") % 3 == 1, 7).otherwise(F.when(F.col("doc_id") < 300, F.col("doc_id")))).cache()
+    for options in ({}, {"weights": (1, 5), "share": 0.9}):
+        got = M.mix(docs, chunk=64, **options).collect()
+        assert options or Counter(map(tuple, got)) == Counter(map(tuple, M.mix(docs).collect()))
+        assert len(got) == 2300 and all(0 <= r.taken <= 2 * r.size for r in got)
+        by = {}
+        for r in got:
+            by.setdefault((r.source_size, r.target), []).append(r.taken)
+        assert all(abs(sum(v) - target) < 1 for (_, target), v in by.items())
+        want = sum(math.ceil(r.taken / r.size) for r in got)
+        out = M.copies(docs, **options).collect()
+        assert len(out) == want
+        words = Counter()
+        for r in out:
+            words[r.source] += len(r.text.split())
+        assert all(-1 < words[s] - t < 13 for s, t in zip("ab", [t for _, t in sorted(by, reverse=True)]))
+
+
 def plain_base(text):
     spans = []
     for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text or ""):
