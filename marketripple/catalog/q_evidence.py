@@ -121,9 +121,9 @@ with recursive s as (select {key}, date, ticker, z from {src} where z <> 0),
 p as (select {key}, ticker, row_number() over (partition by {key} order by ticker) as x, count(*) over (partition by {key}) as n_names
   from (select {key}, ticker from s group by 1, 2 having stddev_samp(z) > 1e-12)),
 v as (select s.{key}, s.date, s.z, p.x from s join p on p.{key} = s.{key} and p.ticker = s.ticker),
-k as (select a.{key}, a.x, b.x as y, {B.corr_sql('a.z', 'b.z')} as c from v a join v b on b.{key} = a.{key} and b.date = a.date and b.x <> a.x group by 1, 2, 3),
-c as materialized (select a.{key}, a.x, b.x as y, case when a.x = b.x then 1.0::double else coalesce(k.c, 0) end as c from p a join p b on b.{key} = a.{key} and b.n_names > 1
-  left join k on k.{key} = a.{key} and k.x = a.x and k.y = b.x),
+pc as (select a.{key}, a.x, b.x as y, {B.corr_sql('a.z', 'b.z')} as c from v a join v b on b.{key} = a.{key} and b.date = a.date and b.x <> a.x group by 1, 2, 3),
+c as materialized (select a.{key}, a.x, b.x as y, case when a.x = b.x then 1.0::double else coalesce(pc.c, 0) end as c from p a join p b on b.{key} = a.{key} and b.n_names > 1
+  left join pc on pc.{key} = a.{key} and pc.x = a.x and pc.y = b.x),
 g(step, {key}, x, y, v) as (select 0, c.{key}, x, y, c / f from c join (select {key}, sqrt(sum(c * c)) as f from c group by 1) n on n.{key} = c.{key}
   union all select a.step + 1, a.{key}, a.x, h.y, sum(a.v * h.w) from g a join
    (select a.{key}, a.x, b.y, case when a.x = b.y then 1.5::double else 0 end - 0.5::double * sum(a.v * b.v) as w from g a join g b on b.{key} = a.{key} and b.x = a.y group by a.{key}, a.x, b.y) h
@@ -139,6 +139,13 @@ top as (select q.{key}, sum(q.v * po.v) as top from q join po on po.{key} = q.{k
 select t.{key}, n_names, one * one / two as n_eff, one * one / two / n_names as ratio, top / one as pc1_share from t join top on top.{key} = t.{key}"""
 
 
+def _positive_breadth(m):
+    return BR.spectral_breadth(N.slice_period(m.signal.select("date", "ticker", "z"), P.PERIODS), ("period",))
+
+
+cte("t_br_positive", spectrum_sql("period", f"(select period, date, ticker, z from t_sig join {B.periods_sql()} on date between lo and hi)"))
+
+
 def _dense_breadth(m):
     return BR.dense_breadth(N.slice_period(m.signal.select("date", "ticker", "z"), P.PERIODS), ("period",))
 
@@ -151,8 +158,7 @@ g as (select a.period, a.date as d, b.date as e, sum(a.v * b.v) as g from u a jo
 e as (select period, sum(g * g) as e from g group by 1), n as (select period, count(*) as n_names from k group by 1)
 select n.period, n_names, n_names::double * n_names / e as n_eff, n_names::double / e as ratio from n join e on e.period = n.period""")
 query("inf_08_effective_breadth", _breadth, "select * from t_br", d="n_eff ratio")
-query("inf_08_positive_breadth", lambda m: BR.spectral_breadth(N.slice_period(m.signal.select("date", "ticker", "z"), P.PERIODS), ("period",)),
-      f"select * from ({spectrum_sql('period', f'(select period, date, ticker, z from t_sig join {B.periods_sql()} on date between lo and hi)')}) as x", d="n_eff ratio pc1_share")
+query("inf_08_positive_breadth", _positive_breadth, "select * from t_br_positive", d="n_eff ratio pc1_share")
 query("inf_08_correlation_energy", lambda m: _dense_breadth(m).select("period", "n_names", (F.col("n_names") / F.col("ratio")).alias("energy")),
       "select period, n_names, n_names / ratio as energy from t_br_dense", d="energy")
 
@@ -199,8 +205,8 @@ query("inf_09_scale_check", lambda m: O.scale_check(_hac_df(m), _pos(m), ("perio
 query("inf_10_required_positions", lambda m: O.required_positions(O.scale_check(_hac_df(m), _pos(m), ("period",)), 2.0, ("period",)), """
 select period, t_now, n_ic_effective, pow(2 / t_now, 2) as multiplier, n_ic_effective * pow(2 / t_now, 2) as n_required from t_scale""",
       d="t_now n_ic_effective multiplier n_required")
-query("inf_11_breadth_for_ir", lambda m: O.breadth_for_ir(_hac_df(m).select("period", "ic"), _breadth(m), periods=Y, keys=("period",)), f"""
-with j as (select h.period, ic, n_eff, n_names, cast(t as double) as ir_target from t_hac h join t_br b on b.period = h.period, (values (0.75), (1.0), (1.5)) as r(t) where ic > 0),
+query("inf_11_breadth_for_ir", lambda m: O.breadth_for_ir(_hac_df(m).select("period", "ic"), _positive_breadth(m), periods=Y, keys=("period",)), f"""
+with j as (select h.period, ic, n_eff, n_names, cast(t as double) as ir_target from t_hac h join t_br_positive b on b.period = h.period, (values (0.75), (1.0), (1.5)) as r(t) where ic > 0),
 d as (select *, pow(ir_target / (ic * sqrt({Y})), 2) as breadth_needed from j)
 select period, ir_target, breadth_needed, breadth_needed / n_eff as factor_vs_now, breadth_needed * n_names / n_eff as positions_at_ratio,
  ic * sqrt(n_eff) * sqrt({Y}) as ir_now from d""", d="ir_target breadth_needed factor_vs_now positions_at_ratio ir_now")
@@ -386,13 +392,13 @@ def _decision(m):
     t = _frozen_table(m)
     sig = m.once("k_signal", lambda: _k_signal(m))
     win = O.frozen_choice(t.where(F.col("period") == "IS").select("k", "ic"), "k")
-    oos = t.where(F.col("period") == "OOS").join(BR.effective_breadth(
+    oos = t.where(F.col("period") == "OOS").join(BR.spectral_breadth(
         N.slice_period(sig, P.PERIODS).where(F.col("period") == "OOS").select("k", "date", "ticker", "z"), ("k",)), "k")
     return O.frozen_decision(oos.where(F.col("k") == 0), oos.join(win, "k"))
 
 
 cte("t_k_signal", " union all ".join(f"select {k}::integer as k, date, ticker, z from t_ss_k{k}" for k in KGRID))
-cte("t_k_br", pair_breadth_sql("k", f"(select * from t_k_signal where date > date '{P.CUT}')"))
+cte("t_k_br", spectrum_sql("k", f"(select * from t_k_signal where date > date '{P.CUT}')"))
 cte("t_k_oos", " union all ".join(f"select {k}::integer as k, sharpe from t_vt_k{k} where period = 'OOS'" for k in KGRID))
 query("inf_17_frozen_decision", _decision, """
 with w as (select k from t_frozen_is order by ic_is desc, k limit 1),
