@@ -62,6 +62,14 @@ def test_zero_is_no_signal(spark):
     assert z[(day(0), "A")] == 0 and z[(day(0), "B")] == pytest.approx(-z[(day(0), "C")]) and z[(day(1), "A")] == 0
 
 
+def test_gap_strength_never_broadcasts_the_graph(spark):
+    rows = [("2020-01-31", "K2_equal", f"H{i % 3}", f"T{i}") for i in range(30)]
+    g = spark.createDataFrame(rows, "m string, variant string, src string, dst string").select(F.col("m").cast("date").alias("valid_month"), "variant", "src", "dst")
+    v = g.select("valid_month", F.explode(F.array("src", "dst")).alias("ticker")).distinct().withColumn("v", F.length("ticker") * 1.5)
+    out = G.liquidity_gap_strength(g, v)
+    assert out.count() == 30 and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_classify_rules_in_order(spark):
     c = spark.createDataFrame([("AAAA34", ["12"]), ("BBBB11", ["12", "14"]), ("CCCC11", ["14"]), ("DDDD11", ["02"]), ("EEEE11", ["02"])],
                               "ticker string, codes array<string>")
