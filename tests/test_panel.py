@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from marketripple.functions.quantiles import group_quantiles
 from marketripple.operators import panel as O
 from marketripple.operators import shock as S
+from marketripple.operators import signal as SG
 from tests.helpers import day
 
 
@@ -198,3 +199,11 @@ def plan_of(df):
     with contextlib.redirect_stdout(out):
         df.explain()
     return out.getvalue()
+
+
+def test_rounding_of_equal_sums_is_no_signal(spark):
+    near = 0.1 + 0.2  # 0.30000000000000004
+    rows = [(day(0), f"T{i}", near if i % 3 else 0.3) for i in range(12)] + [(day(1), f"T{i}", 0.1 * i + 1e-9) for i in range(12)]
+    z = SG.zscore_xsec(spark.createDataFrame(rows, "date date, ticker string, clipped double")).toPandas()
+    assert z[z["date"] == day(0)]["z"].abs().max() < 1e-12
+    assert abs(z[z["date"] == day(1)]["z"].std() - 1) < 1e-12
