@@ -171,6 +171,39 @@ def test_placebo_keeps_structure(spark):
     assert out.sort_values(key)[key].values.tolist() == again.sort_values(key)[key].values.tolist()
 
 
+def _big_block(spark):
+    import datetime as dt
+    mth = dt.date(2020, 1, 31)
+    rows = [(mth, v, h, f"N{i:03d}", 0.25 * (1 + (h == "N000")), 1 if i % 7 else -1) for v, hs in (("K2", ("N000", "N001")), ("K3", ("N000", "N001", "N002")))
+            for h in hs for i in range(150) if h != f"N{i:03d}"] + [(mth, "K2", "N000", "X", 0.5, 1)]
+    g = spark.createDataFrame(rows, "valid_month date, variant string, src string, dst string, strength double, direction int")
+    return g, spark.createDataFrame([(f"N{i:03d}", "S") for i in range(150)], "ticker string, subsector string")
+
+
+@pytest.mark.parametrize("spare", [40, 0])
+def test_drawn_heads_are_the_first_of_the_hash_order(spark, spare):
+    import hashlib
+    g, sub = _big_block(spark)
+    known = O._blocked(g, sub).where("block is not null")
+    got = {(r["draw"], r["variant"], r["src"]): r["new_src"] for r in O._drawn_heads(known, 20, 42, spare).collect()}
+    for draw in range(20):
+        for v, hs in (("K2", ("N000", "N001")), ("K3", ("N000", "N001", "N002"))):
+            order = sorted((hashlib.md5(f"42|{draw}|2020-01|{v}|S|N{i:03d}".encode()).hexdigest(), f"N{i:03d}") for i in range(150))
+            assert [got[draw, v, h] for h in hs] == [m for _, m in order[:len(hs)]]
+    assert len(got) == 20 * 5
+
+
+def test_placebo_sizes_equal_the_drawn_graphs(spark):
+    g, sub = _big_block(spark)
+    by = ["draw", "valid_month", "variant"]
+    drawn = O.placebo_graphs(g, sub, 20)
+    want = drawn.groupBy(*by).agg(F.count("dst").alias("n_edges"), F.sum(F.col("strength") * F.col("direction")).alias("strength"),
+                                  F.count_distinct("src").alias("n_triggers"), F.min("src").alias("first_src"), F.max("src").alias("last_src"))
+    got = O.placebo_sizes(g, sub, 20)
+    assert "BroadcastHashJoin Inner BuildLeft" not in drawn._jdf.queryExecution().executedPlan().toString().replace(",", "")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_walk_forward_uses_only_the_past(spark):
     import datetime as dt
     rng = np.random.default_rng(5)
