@@ -146,6 +146,40 @@ def test_positive_eigenvalues_equal_numpy(spark, tile):
         assert g["ratio"] == pytest.approx(n_eff / n, rel=1e-6)
 
 
+def _gappy_signal(spark, names=23, dates=30):
+    r = np.random.default_rng(5)
+    z = 0.6 * r.normal(size=dates)[:, None] + r.normal(size=(dates, names))
+    z[r.random(z.shape) < 0.5] = 0
+    rows = [("a", day(i), f"N{j:02d}", float(z[i, j])) for i in range(dates) for j in range(names)]
+    return spark.createDataFrame(rows, "key string, date date, ticker string, z double")
+
+
+def test_tiles_of_a_matrix_are_solved_in_one_task(spark, monkeypatch):
+    signal = _gappy_signal(spark)
+    want = BR.spectral_breadth(signal, ("key",), tile=6, whole=22).first()  # by products of tiles
+
+    def never(*args, **named):
+        raise AssertionError("23 names need no products of tiles")
+    monkeypatch.setattr(BR, "_spectrum", never)
+    got = BR.spectral_breadth(signal, ("key",), tile=6).first()
+    assert got["n_names"] == want["n_names"] == 23
+    assert all(got[c] == pytest.approx(want[c], rel=1e-6) for c in ("n_eff", "ratio", "pc1_share"))
+
+
+def test_a_date_of_a_tile_moves_as_one_row(spark, monkeypatch):
+    import pyarrow as pa
+
+    def counted(names, give, out):
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    yield pa.RecordBatch.from_pylist([{"key": "a", "energy": float(b.num_rows)}], out)
+        return run
+    monkeypatch.setattr(BR, "_tile_pairs", counted)
+    got = BR.effective_breadth(_gappy_signal(spark), ("key",)).first()
+    assert got["n_names"] ** 2 / got["n_eff"] == pytest.approx(2 * 30)  # both halves of the one tile, 30 dates
+
+
 def test_lag_rule_beyond_the_lags_is_an_error(spark):
     ic = spark.range(200).selectExpr("date_add(date'2000-01-01', cast(id as int)) as date", "cast(id % 7 as double) as ic")
     with pytest.raises(Exception, match="auto_cap"):
@@ -246,3 +280,15 @@ def test_bootstrap_equals_resampled_rows(spark):
         assert got[draw] == pytest.approx(np.mean(rows) / np.std(rows, ddof=1) * math.sqrt(252), rel=1e-6)
     flat = O.block_bootstrap(s.selectExpr("date", "1.0D as r"), "r", 8, 2).collect()
     assert [x["sharpe"] for x in flat] == [None, None]
+
+
+def test_thresholds_that_choose_alike_are_worked_out_once(spark):
+    from types import SimpleNamespace
+
+    from marketripple.catalog import q_evidence as Q
+    names = [(f"A{i:02d}", "A") for i in range(13)] + [(f"B{i:02d}", "B") for i in range(15)] + [(f"U{i:02d}", "A DEFINIR") for i in range(40)]
+    m = SimpleNamespace(names=spark.createDataFrame(names, "ticker string, subsector string"),
+                        panel=spark.createDataFrame([(t, 1.0) for t, _ in names], "ticker string, close double"))
+    assert Q._k_classes(m) == {0: 0, 12: 12, 14: 14, 16: 0, 18: 0, 19: 0, 20: 0, 22: 0}
+    got = Q._for_all_k(m, spark.createDataFrame([(0, "x"), (12, "y"), (14, "z")], "k int, v string")).collect()
+    assert sorted(map(tuple, got)) == [(k, {12: "y", 14: "z"}.get(k, "x")) for k in Q.KGRID]
