@@ -62,6 +62,13 @@ def test_zero_is_no_signal(spark):
     assert z[(day(0), "A")] == 0 and z[(day(0), "B")] == pytest.approx(-z[(day(0), "C")]) and z[(day(1), "A")] == 0
 
 
+def test_monthly_comparison_lists_the_missing_names(spark):
+    u = spark.createDataFrame([("2020-01", "A"), ("2020-02", "A")], "mes string, ticker string")
+    o = spark.createDataFrame([("2020-01", "C"), ("2020-01", "B"), ("2020-01", "A"), ("2020-02", "A")], "mes string, ticker string")
+    got = {r["mes"]: (r["n_comum"], r["n_falta"], r["faltam"]) for r in U.compare_monthly(u, o).collect()}
+    assert got == {"2020-01": (1, 2, "B,C"), "2020-02": (1, 0, "")}
+
+
 def test_gap_strength_never_broadcasts_the_graph(spark):
     rows = [("2020-01-31", "K2_equal", f"H{i % 3}", f"T{i}") for i in range(30)]
     g = spark.createDataFrame(rows, "m string, variant string, src string, dst string").select(F.col("m").cast("date").alias("valid_month"), "variant", "src", "dst")
