@@ -34,13 +34,15 @@ def _lines(m) -> DataFrame:
         _pad(F.when(o % 101 == 0, 0).otherwise((100 - F.col("disc_c")) * 100), 13), F.lpad(F.lit(""), 49, "0"),
         _pad(F.col("vol_c"), 18), F.lpad(F.lit(""), 22, " "), _pad(factor, 7), F.lpad(F.lit(""), 28, " "))
     short = F.when(o % 97 == 0, F.substring(line, 1, 240)).otherwise(line)
-    return m.records.select(F.year("date").alias("year"), F.encode(short, "ISO-8859-1").cast("string").alias("line"))
+    # a folder per year needs the rows by year: they are sorted while they are narrow
+    rows = m.records.withColumn("year", F.year("date")).sortWithinPartitions("year")
+    return rows.select("year", F.encode(short, "ISO-8859-1").cast("string").alias("line"))
 
 
 def _landed(m) -> DataFrame:
     if "landed_root" not in m.__dict__:
         m.__dict__["landed_root"] = _path(m, "landed")
-        _lines(m).write.partitionBy("year").text(m.__dict__["landed_root"])
+        _lines(m).write.partitionBy("year").option("compression", "gzip").text(m.__dict__["landed_root"])
     return O.raw_lines(m.spark, m.__dict__["landed_root"])
 
 

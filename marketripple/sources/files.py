@@ -24,11 +24,11 @@ EDGE_SCHEMA = "src string, dst string, kind string, strength double, direction i
 
 
 def raw_lines(spark: SparkSession, root: str) -> DataFrame:
-    """(file, line) of every text file under ``root``, whatever the case of its extension.
+    """(file, line) of every text file under ``root``, whatever the case of its extension, as it is or packed by gzip.
 
     Bytes are decoded as latin-1: as UTF-8 an accented record would not measure 245 characters.
     """
-    raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[tT][xX][tT]").text(root))
+    raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[tT][xX][tT]{,.gz}").text(root))
     return raw.select(F.col("_metadata.file_path").alias("file"),
                       F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("line"))
 

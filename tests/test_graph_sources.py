@@ -131,6 +131,24 @@ def test_malformed_number_fails_on_request(spark):
         FS.parse_records(lines, malformed="skip")
 
 
+def test_landed_lines_are_packed_and_sorted_once(spark, tmp_path):
+    import gzip
+
+    from marketripple.catalog import q_sources as Q
+    from marketripple.plans.market import Market
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "DAY.TXT.gz").write_bytes(gzip.compress("AÇÃO\nB\n".encode("latin-1")))
+    (tmp_path / "plain.Txt").write_bytes(b"C\n")
+    (tmp_path / "note.md").write_bytes(b"D\n")
+    assert sorted(r["line"] for r in FS.raw_lines(spark, str(tmp_path)).collect()) == ["AÇÃO", "B", "C"]
+    m = Market(spark, "/root/testdata/sf0.001")
+    landed = Q._landed(m)
+    assert landed.count() == m.records.count()
+    files = list(Path(m.__dict__["landed_root"]).rglob("part-*"))
+    assert files and all(f.name.endswith(".txt.gz") for f in files)
+    assert sum(f.stat().st_size for f in files) < 245 * landed.count() / 4
+
+
 def test_market_sees_rewritten_table(spark, tmp_path):
     for f in Path("/root/testdata/sf0.001").glob("*.parquet"):
         shutil.copyfile(f, tmp_path / f.name)
