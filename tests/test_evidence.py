@@ -238,6 +238,31 @@ def test_placebo_sizes_equal_the_drawn_graphs(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_placebo_ic_equals_the_signal_over_drawn_edges(spark):
+    import datetime as dt
+    from marketripple.operators import signal as S
+    g, sub = _big_block(spark)
+    g = g.where(~F.col("dst").isin("N004") | (F.col("src") == "N001"))  # another class
+    last = dt.date(2020, 2, 29)  # a month with two targets, which lose all their edges in some draws
+    lone = [(last, "K2", "L0", "L1", 1.0, 1), (last, "K2", "L1", "L0", 1.0, 1), (last, "K2", "L2", "L1", 0.5, 1)]
+    g = g.unionByName(spark.createDataFrame(lone, g.schema))
+    sub = sub.unionByName(spark.createDataFrame([(f"L{i}", "T") for i in range(3)], sub.schema))
+    rng = np.random.default_rng(3)
+    names = [f"N{i:03d}" for i in range(150)] + ["X", "L0", "L1", "L2"]
+    rows = [(dt.date(2020, mth, 3 + 7 * k), n, None if rng.random() < .2 else float(rng.normal()), None if rng.random() < .2 else float(rng.normal(.1, 1)))
+            for mth in (1, 2) for k in range(3) for n in names]
+    p = spark.createDataFrame(rows, "date date, ticker string, acc double, y double")
+    drawn = O.placebo_graphs(g, sub, 12).localCheckpoint()
+    raw = S.propagate_temporal_ensemble(p, drawn, keys=("draw",), n_variants=g.agg(F.count_distinct("variant").alias("n")).select("n").scalar()).localCheckpoint()
+    dense = p.select("date", "ticker").join(drawn.select("draw", F.col("dst").alias("ticker")).distinct(), "ticker").join(
+        S.standardise(raw, keys=("draw",)).select("draw", "date", "ticker", "z"), ["draw", "date", "ticker"], "left").withColumn("z", F.coalesce("z", F.lit(0.0)))
+    want = {(r["draw"], r["date"]): r["ic"] for r in O.ic_daily(dense, p.select("date", "ticker", "y"), keys=("draw",)).collect()}
+    got = {(r["draw"], r["date"]): r["ic"] for r in O.placebo_ic(p, g, sub, 12).collect()}
+    assert len({t for t in drawn.select("draw", "dst").distinct().groupBy("dst").count().toPandas()["count"]}) > 1  # some draw lacks a target
+    assert got.keys() == want.keys() and len(got) > 40
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
 def test_walk_forward_uses_only_the_past(spark):
     import datetime as dt
     rng = np.random.default_rng(5)
