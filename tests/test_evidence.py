@@ -238,6 +238,16 @@ def test_placebo_sizes_equal_the_drawn_graphs(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_drawn_heads_broadcast_no_edges_or_draws(spark):
+    g, sub = _big_block(spark)
+    known = O._blocked(g, sub).where("block is not null")
+    assert "BroadcastHashJoin" not in _plan(known) and "BroadcastHashJoin" not in _plan(O._drawn_heads(known, 5, 42))
+
+
 def test_placebo_ic_equals_the_signal_over_drawn_edges(spark):
     import datetime as dt
     from marketripple.operators import signal as S
