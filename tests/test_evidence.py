@@ -248,6 +248,19 @@ def test_drawn_heads_broadcast_no_edges_or_draws(spark):
     assert "BroadcastHashJoin" not in _plan(known) and "BroadcastHashJoin" not in _plan(O._drawn_heads(known, 5, 42))
 
 
+def test_packed_tables_of_the_placebo_are_not_broadcast(spark, monkeypatch):
+    import datetime as dt
+    from marketripple.functions.expr import salted_join
+    g, sub = _big_block(spark)
+    p = spark.createDataFrame([(dt.date(2020, 1, 3), f"N{i:03d}", float(i), 0.1 * i) for i in range(150)], "date date, ticker string, acc double, y double")
+    plans, write = {}, O.materialise
+    monkeypatch.setattr(O, "materialise", lambda df, label: (plans.update({label: _plan(df)}), write(df, label))[1])
+    O.placebo_ic(p, g, sub, 3)
+    assert all("BroadcastHashJoin" not in plans[label] for label in ("class_members", "class_load", "placebo_dates"))
+    assert "BroadcastHashJoin" not in _plan(O.ic_daily(p.withColumn("z", F.col("acc")), p))
+    assert "BroadcastHashJoin" not in _plan(salted_join(p, p.select("date", "ticker"), ["date", "ticker"], "ticker", merge=True))
+
+
 def test_placebo_ic_equals_the_signal_over_drawn_edges(spark):
     import datetime as dt
     from marketripple.operators import signal as S
