@@ -180,6 +180,24 @@ def test_a_date_of_a_tile_moves_as_one_row(spark, monkeypatch):
     assert got["n_names"] ** 2 / got["n_eff"] == pytest.approx(2 * 30)  # both halves of the one tile, 30 dates
 
 
+@pytest.mark.parametrize("held", [4, 1])
+def test_dense_breadth_adds_up_tasks_and_explodes_no_pair_of_dates(spark, monkeypatch, held):
+    monkeypatch.setattr(BR, "HELD", held)
+    r = np.random.default_rng(4)
+    rows, want = [], {}
+    for key in ("a", "b"):
+        z = r.normal(size=(25, 40))
+        z[r.random(z.shape) < 0.5] = 0
+        z[:, 7] = 3.0  # no variance
+        c = np.corrcoef(np.delete(z, 7, axis=1).T)
+        want[key] = (39, 39 ** 2 / (c * c).sum())
+        rows += [(key, day(i), f"N{j:02d}", float(z[i, j])) for i in range(25) for j in range(40)]
+    rows += [("a", day(30), "N03", None), (None, day(0), "N00", 1.0), (None, day(1), "N00", 2.0)]
+    got = BR.dense_breadth(spark.createDataFrame(rows, "key string, date date, ticker string, z double").repartition(5), ("key",))
+    assert "Generate" not in _plan(got)
+    assert {g["key"]: (g["n_names"], pytest.approx(g["n_eff"], rel=1e-9)) for g in got.collect()} == want
+
+
 def test_lag_rule_beyond_the_lags_is_an_error(spark):
     ic = spark.range(200).selectExpr("date_add(date'2000-01-01', cast(id as int)) as date", "cast(id % 7 as double) as ic")
     with pytest.raises(Exception, match="auto_cap"):
