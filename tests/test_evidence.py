@@ -198,6 +198,11 @@ def test_dense_breadth_adds_up_tasks_and_explodes_no_pair_of_dates(spark, monkey
     assert {g["key"]: (g["n_names"], pytest.approx(g["n_eff"], rel=1e-9)) for g in got.collect()} == want
 
 
+def test_tiles_meet_without_moving_once_per_other_tile(spark):
+    plan = _plan(BR.effective_breadth(_gappy_signal(spark), ("key",), tile=4))
+    assert "CartesianProduct" in plan and "Generate" not in plan
+
+
 def test_lag_rule_beyond_the_lags_is_an_error(spark):
     ic = spark.range(200).selectExpr("date_add(date'2000-01-01', cast(id as int)) as date", "cast(id % 7 as double) as ic")
     with pytest.raises(Exception, match="auto_cap"):
