@@ -203,6 +203,18 @@ def test_tiles_meet_without_moving_once_per_other_tile(spark):
     assert "CartesianProduct" in plan and "Generate" not in plan
 
 
+def test_half_of_a_symmetric_matrix_is_written(spark, monkeypatch):
+    written, write = {}, BR.materialise
+
+    def kept(df, label):
+        written[label] = write(df, label)
+        return written[label]
+    monkeypatch.setattr(BR, "materialise", kept)
+    BR.spectral_breadth(_gappy_signal(spark), ("key",), tile=6)
+    places = [(r["i"], r["j"]) for r in written["br_tiles"].collect()]
+    assert len(places) == len(set(places)) > 3 and all(i <= j for i, j in places)
+
+
 def test_lag_rule_beyond_the_lags_is_an_error(spark):
     ic = spark.range(200).selectExpr("date_add(date'2000-01-01', cast(id as int)) as date", "cast(id % 7 as double) as ic")
     with pytest.raises(Exception, match="auto_cap"):
